@@ -179,29 +179,37 @@ def kept(df: DataFrame, what: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, rows: int, per_bucket: int = 4096, at: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], at: Column, rank: str, rows: int, total: str | None = None, per_bucket: int = 4096) -> DataFrame:
     """``rank``: 0-based place of each row among those of its group by ``order``, with no group in one task.
 
     ``at`` is a number in [0, 1) that grows with the first column of ``order``; it cuts each group into buckets.  Rows
     are counted in each bucket, a running sum over the bucket counts gives each bucket its first rank, and a window
-    over (group, bucket) does the rest; both sides are dealt by the same keys.
+    over (group, bucket) does the rest; both sides are dealt by the same keys.  ``total``: the rows of the group.
     """
     n = max(256, min(-(-rows // per_bucket), 65536 + rows // 262144))
-    # 31 bits of a hash never reach n here
-    df = df.withColumn("_bucket", F.floor(at * F.lit(n)).cast("int"))
+    df = df.withColumn("_bucket", F.least(F.floor(at * F.lit(float(n))), F.lit(n - 1)).cast("int"))
     keys = [*group, "_bucket"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counts = counts.select(*[F.col(k).alias(f"_c{k}") for k in keys], "_before")
+    counts = counts.select(
+        *[F.col(k).alias(f"_c{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
+    )
     within = Window.partitionBy(*keys).orderBy(*order)
     df = df.withColumn("_within", F.row_number().over(within) - 1)
-    cond = None
+    cond = F.lit(True)
     for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_c{k}"))
-        cond = c if cond is None else cond & c
-    return (
-        df.join(counts, cond, "left")
-        .withColumn(rank, (F.col("_before") + F.col("_within")).cast("long"))
-        .drop("_bucket", "_within", "_before", *[f"_c{k}" for k in keys])
-    )
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    df = df.join(counts, cond, "left").withColumn(rank, (F.col("_before") + F.col("_within")).cast("long"))
+    if total:
+        df = df.withColumn(total, F.col("_total").cast("long"))
+    return df.drop("_bucket", "_within", "_before", "_total", *[f"_c{k}" for k in keys])
+
+
+def shuffle_key(seed: int, *columns: str) -> Column:
+    """31 bits that deal rows into a seeded random order."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 33)
+
+
+SHUFFLE_RANGE = float(1 << 31)

@@ -53,3 +53,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.mix import mixed
+
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op8_shard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.shard import sharded, sized
+
+    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return sharded(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
