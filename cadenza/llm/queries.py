@@ -68,3 +68,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return sharded(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_tokens")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cadenza.llm.tokens import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op10_lz_fingerprint")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.lz import next_compared
+
+    return next_compared(table(spark, sf_dir, "documents"))
