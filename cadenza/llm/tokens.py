@@ -20,6 +20,8 @@ text; an empty table writes nothing; other columns are left behind.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -30,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import kept, raw_text, shared_dir, text_batches
+from cadenza.llm.common import CHUNK_BYTES, kept, raw_text, shared_dir, text_batches
 
 END_ID = 2
 #: Words a worker remembers, about 250 bytes each.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 MANIFEST = "part long, path string, index_path string, records long, ids long, bytes long"
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def masked_crc(data: bytes) -> int:
@@ -61,46 +63,85 @@ def unframe(read) -> Iterator[bytes]:
         yield body[:n]
 
 
+#: Latin letters and some marks after them: one pre-token, or two with marks.
+_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|()]*)").fullmatch
+_GROUP = 2000
+
+
 class Encoder:
-    """ids of texts, as bytes of fixed width; remembers words."""
+    """ids of texts, as bytes of fixed width; remembers words.
+
+    A vocabulary whose tokens mark the end of a word drops white space, so that texts can go word by word; with any
+    other vocabulary whole texts go to the tokenizer."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(size, dtype=bool)
+        if mark:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+        self.by_word = bool(mark)
         self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     @classmethod
-    def at(cls, path: str) -> "Encoder":
+    def at(cls, path: str) -> Encoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return self._plain(texts)
         words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space
-        new = {w for x in words for w in x} - self.known.keys()
+        new = set().union(*words) - self.known.keys()
         known = self.known
         if new:
-            order = list(new)
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)
-            ids = [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-            if len(known) + len(order) <= self.remembered:
-                known.update(zip(order, ids, strict=True))
+            found = self._unseen(new)
+            if len(known) + len(found) <= self.remembered:
+                known.update(found)
             else:
-                known = _Two(self.known, dict(zip(order, ids, strict=True)))
+                known = _Two(found, known)
         get = known.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+
+    def _unseen(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Words of one or two pre-tokens go as one text of many words, cut again after every (second) word end."""
+        one, two, rest, out, width = [], [], [], {}, self.kind.itemsize
+        for w in words:
+            m = _SIMPLE(w.decode("utf-8", "replace"))
+            (rest if m is None else two if m[1] else one).append(w)
+        for group, k in ((one, 1), (two, 2)):
+            for at in range(0, len(group), _GROUP):
+                some = group[at : at + _GROUP]
+                ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype=self.kind)
+                cut = np.flatnonzero(self.ends[ids])[k - 1 :: k] + 1
+                if len(cut) != len(some) or cut[-1] != len(ids):
+                    rest += some
+                    continue
+                raw, cut = ids.tobytes(), (cut * width).tolist()
+                out.update(zip(some, (raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
+        out.update(zip(rest, self._plain(rest), strict=True))
+        return out
+
 
 class _Two(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
+    """Words of this batch, then those remembered."""
+
+    def __init__(self, own: dict, more: dict):
+        super().__init__(own)
+        self.more = more
 
     def __missing__(self, key):
-        return self.first[key]
+        return self.more[key]
 
 
 def _writer(folder: str, path: str, end_id: int):
@@ -116,7 +157,7 @@ def _writer(folder: str, path: str, end_id: int):
         part = TaskContext.get().partitionId()
         end, wide = np.array([end_id], dtype=encoder.kind).tobytes(), encoder.kind.itemsize == 4
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 2 * CHUNK_BYTES):
             if store is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
