@@ -99,15 +99,14 @@ class Encoder:
             return self._plain(texts)
         words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space
         new = set().union(*words) - self.known.keys()
-        known = self.known
-        if new:
-            found = self._unseen(new)
-            if len(known) + len(found) <= self.remembered:
-                known.update(found)
-            else:
-                known = _Two(found, known)
+        known, found = self.known, self._unseen(new)
+        known.update(found)
         get = known.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        out = [b"".join(map(get, x)) for x in words]
+        if len(known) > self.remembered:
+            for w in found:
+                del known[w]
+        return out
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -133,21 +132,12 @@ class Encoder:
         return out
 
 
-class _Two(dict):
-    """Words of this batch, then those remembered."""
-
-    def __init__(self, own: dict, more: dict):
-        super().__init__(own)
-        self.more = more
-
-    def __missing__(self, key):
-        return self.more[key]
-
-
 def _writer(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
+        gc.disable()  # millions of small objects and no cycles among them
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyarrow import fs
         from pyspark import TaskContext
@@ -175,6 +165,7 @@ def _writer(folder: str, path: str, end_id: int):
                 records += 1
                 ids += len(x) // encoder.kind.itemsize + 1
             index.write(b"".join(lines))
+        gc.enable()
         if store is not None:
             out.close()
             index.close()
