@@ -213,3 +213,21 @@ def shuffle_key(seed: int, *columns: str) -> Column:
 
 
 SHUFFLE_RANGE = float(1 << 31)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context, so that a job does not depend on how they were started."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_cadenza_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp()) / "cadenza.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"cadenza/{f.relative_to(package)}")
+    sc.addPyFile(str(path))
+    sc._cadenza_shipped = True
