@@ -95,3 +95,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cadenza.llm.wordpiece import sentencepiece_pieces, token_counts
+
+    vocabulary = sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary, columns=["doc_id"])
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.langid import in_training, predicted, trained
+
+    docs = table(spark, sf_dir, "documents")
+    model = trained(docs.where(in_training()))
+    docs = docs.select("doc_id", (~in_training()).alias("held_out"), "text")
+    return predicted(docs, model, columns=["doc_id", "held_out"])
