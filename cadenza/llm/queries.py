@@ -115,3 +115,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = trained(docs.where(in_training()))
     docs = docs.select("doc_id", (~in_training()).alias("held_out"), "text")
     return predicted(docs, model, columns=["doc_id", "held_out"])
+
+
+@query("op2_lm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.lm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
