@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import CHUNK_BYTES, SPACED, Words, crc_mod, kept, mix, raw_text, text_batches
 
 RATIO, BITS, PROBES = 1.25, 8, 4
-RUN_TOKENS, BUCKET_GRAMS, BROADCAST_BYTES = 4 << 20, 1 << 20, 256 << 20
+RUN_TOKENS, BUCKET_GRAMS, BROADCAST_BYTES = 3 << 19, 1 << 20, 256 << 20
 WORD, PAIR, AFTER = 0, 1, 2
 END = np.uint64(0x5851F42D4C957F2D)
 U32, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -196,6 +196,7 @@ class Filter:
             if r["kind"] == WORD:
                 counts = np.frombuffer(r["counts"], dtype="<u8")
                 words[r["bucket"]] = bytes(r["keys"]), counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8").tobytes() if len(counts) else b""
+        self.data = bytes(self.data)  # a pickled bytearray would be held twice on loading
         self.words, self.buckets = words, buckets
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
@@ -240,9 +241,10 @@ def _smoothed(pair, before, after, word, size):
 
 def _score(sent, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         model: Filter = sent.value
         size = n + v + 1
-        for batch in text_batches(batches, CHUNK_BYTES):
+        for batch in text_batches(batches, CHUNK_BYTES // 2):
             word, before, first = tokens(*raw_text(batch.column("text")))
             keys, at = np.unique(word, return_inverse=True)
             exact = model.exact(keys)
