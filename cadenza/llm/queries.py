@@ -122,3 +122,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.lm import scored
 
     return scored(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.html import extracted
+
+    return extracted(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
