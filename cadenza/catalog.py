@@ -633,3 +633,92 @@ def _(t):
 def _(t):
     n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
     return n(views.churn_behavior(t.churn, t.fact), "behavior_rows").crossJoin(n(views.distributions(t.fact), "distribution_rows")).crossJoin(n(views.churn_transitions(t.churn, COHORTS), "transition_rows")).crossJoin(n(views.overview_kpis(t.users, t.churn, views.transaction_activity(t.fact), COHORTS), "kpi_rows"))
+
+
+# ---- sources and sinks, through files of the shared folder
+
+def scratch(t: Tables, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, or in the warehouse where that is not set; both are shared."""
+    import uuid
+
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src05_07_csv_round_trip", "SELECT source_file, count(*) AS row_count, count(DISTINCT msno) AS users, CAST(sum(secs) AS DECIMAL(38,2)) AS total_secs FROM logs GROUP BY 1")
+def _(t):
+    path = scratch(t, "logs")
+    text = t.logs.withColumns({"date": F.date_format("activity_date", "yyyyMMdd"), "total_secs": F.col("total_secs").cast("decimal(18,2)")}).select("source_file", *activity.HEADER)
+    text.write.partitionBy("source_file").option("header", True).csv(path)
+    rows = activity.typed(activity.validated(t.spark.read.schema(activity.RAW.add("source_file", "string")).option("header", True).option("columnNameOfCorruptRecord", activity.CORRUPT).csv(path)))
+    return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"), F.sum("total_secs").cast("decimal(38,2)").alias("total_secs"))
+
+
+@query("src06_projection", "SELECT DISTINCT msno FROM tx")
+def _(t):
+    return t.fact.select("msno").distinct()
+
+
+@query("src09_row_numbers", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS least, count(*) AS most, count(*) AS different FROM customer", base=False)
+def _(t):
+    from cadenza.sources.files import numbered
+
+    rows = numbered(t.raw("customer").select("c_custkey"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("source_row_number").alias("least"), F.max("source_row_number").alias("most"), F.count_distinct("source_row_number").alias("different"))
+
+
+@query("src15_schema_catalog", "SELECT column_name AS name, ordinal_position AS position FROM (VALUES ('c_custkey', 1), ('c_name', 2), ('c_nationkey', 3), ('c_acctbal', 4), ('c_mktsegment', 5)) t(column_name, ordinal_position)", base=False)
+def _(t):
+    names = ", ".join(f"('{f.name}', {k})" for k, f in enumerate(t.raw("customer").schema.fields, 1))
+    return t.spark.sql(f"SELECT * FROM VALUES {names} AS t(name, position)")
+
+
+@query("src16_inline_values", "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, v)", base=False)
+def _(t):
+    return t.spark.sql("SELECT * FROM VALUES ('a', 1), ('b', 2) AS t(k, v)")
+
+
+@query("snk01_idempotent_append", "SELECT count(*) AS n, count(*) AS after_second_load FROM labels")
+def _(t):
+    from cadenza.sources.files import append_missing
+
+    once = append_missing(t.labels.limit(0), t.labels)
+    twice = append_missing(once, t.labels)
+    return once.agg(F.count(F.lit(1)).alias("n")).crossJoin(twice.agg(F.count(F.lit(1)).alias("after_second_load")))
+
+
+@query("snk02_upsert", "SELECT msno, CASE WHEN registered_via_code = 0 THEN 'male' ELSE gender END AS gender FROM members")
+def _(t):
+    from cadenza.sources.files import upsert
+
+    new = t.members.where("registered_via_code = 0").select("msno", F.lit("male").alias("gender"))
+    return upsert(t.members.select("msno", "gender"), new, "msno")
+
+
+@query("snk06_materialised_summary", f"SELECT cohort AS expiry_cohort_month, {COHORT} FROM labels GROUP BY 1")
+def _(t):
+    from cadenza.sources.files import refresh
+
+    return refresh(views.cohort_summary(t.churn).drop("churn_rate"), scratch(t, "summary"))
+
+
+@query("snk07_08_monthly_partitions", "SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT msno || CAST(day AS VARCHAR)) AS daily_rows, CAST(count(*) AS DECIMAL(38,0)) AS source_record_count FROM logs GROUP BY 1")
+def _(t):
+    path = scratch(t, "daily")
+    activity.write_daily(activity.daily(t.logs), path)
+    return t.spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("daily_rows"), F.sum("source_record_count").cast("decimal(38,0)").alias("source_record_count"))
+
+
+@query("str01_02_06_stream_activity", f"SELECT msno, day AS activity_date, {SUMS}, CAST(sum(secs) AS DECIMAL(38,2)) AS total_secs, CAST(count(*) AS DECIMAL(38,0)) AS source_record_count FROM logs GROUP BY msno, day")
+def _(t):
+    folder = scratch(t, "stream")
+    t.logs.withColumns({"date": F.date_format("activity_date", "yyyyMMdd"), "total_secs": F.col("total_secs").cast("decimal(18,2)")}).select(*activity.HEADER).repartition(4).write.option("header", True).csv(f"{folder}/in")
+    for _ in range(2):  # the second call finds nothing new
+        days = activity.run_stream(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", 2)
+    return days.withColumn("total_secs", F.col("total_secs").cast("decimal(38,2)"))
+
+
+@query("msc01_03_cte_distinct", "SELECT m AS month, count(*) AS users FROM (SELECT DISTINCT CAST(date_trunc('month', tx) AS DATE) AS m, msno FROM tx) GROUP BY m")
+def _(t):
+    t.fact.createOrReplaceTempView("_fact")
+    return t.spark.sql("WITH seen AS (SELECT DISTINCT trunc(transaction_date, 'MM') AS month, msno FROM _fact) SELECT month, count(*) AS users FROM seen GROUP BY 1")

@@ -28,7 +28,7 @@ METRICS = [*COUNTS, "total_secs", "source_record_count"]
 
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All text; rows with too few or too many fields are flagged, not lost."""
-    return spark.read.schema(RAW).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("encoding", "UTF-8").csv(path)
+    return spark.read.schema(RAW).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).option("encoding", "UTF-8").csv(path)
 
 
 def reason():
@@ -167,7 +167,7 @@ def run(spark: SparkSession, paths: list[str], out: str, max_rows: int | None =
 
 def run_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
     """Take in what is new in a folder of CSV files, then stop; call again for more.  Returns the daily sums."""
-    raw = spark.readStream.schema(RAW).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    raw = spark.readStream.schema(RAW).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).option("maxFilesPerTrigger", files_per_batch).csv(folder)
 
     def partial(batch: DataFrame, number: int) -> None:
         daily(typed(validated(batch))).write.mode("overwrite").parquet(f"{out}/batch={number}")
