@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import derive as d
 from cadenza.operators import checks, profiling, sets
@@ -650,7 +651,7 @@ def _(t):
     path = scratch(t, "logs")
     text = t.logs.withColumns({"date": F.date_format("activity_date", "yyyyMMdd"), "total_secs": F.col("total_secs").cast("decimal(18,2)")}).select("source_file", *activity.HEADER)
     text.write.partitionBy("source_file").option("header", True).csv(path)
-    rows = activity.typed(activity.validated(t.spark.read.schema(activity.RAW.add("source_file", "string")).option("header", True).option("columnNameOfCorruptRecord", activity.CORRUPT).csv(path)))
+    rows = activity.typed(activity.validated(t.spark.read.schema(T.StructType([*activity.RAW.fields, T.StructField("source_file", T.StringType())])).option("header", True).option("columnNameOfCorruptRecord", activity.CORRUPT).option("columnPruning", False).csv(path)))
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"), F.sum("total_secs").cast("decimal(38,2)").alias("total_secs"))
 
 
