@@ -69,7 +69,7 @@ class Tables:
 
     @property
     def churn(self):
-        return model.fact_churn(self.labels, self.users, self.files)
+        return model.fact_churn(self.labels, None, self.files)
 
     @property
     def logs(self):
@@ -106,7 +106,7 @@ def _(t):
 
 @query("jon01_fact_churn", "SELECT msno, cohort AS expiry_cohort_month, is_churn, CASE file WHEN 2 THEN 'labels_feb' ELSE 'labels_mar' END AS label_source FROM labels")
 def _(t):
-    return t.churn.select("msno", "expiry_cohort_month", "is_churn", "label_source")
+    return model.fact_churn(t.labels, t.users, t.files).select("msno", "expiry_cohort_month", "is_churn", "label_source")
 
 
 @query("jon02_fact_transaction", "SELECT source_file, msno, payment_method_id, plan_days AS payment_plan_days, listed AS plan_list_price, paid AS actual_amount_paid, renew AS is_auto_renew, tx AS transaction_date, expire AS membership_expire_date, cancel AS is_cancel FROM tx")

@@ -38,10 +38,16 @@ def dim_user(members: DataFrame, labels: DataFrame, transactions: DataFrame, wit
     return df.select(*(["user_key"] if with_key else []), *names)
 
 
-def fact_churn(labels: DataFrame, users: DataFrame, files: DataFrame) -> DataFrame:
-    """A user's label in a cohort; repeated lineage is dropped, a repeated (user, cohort) is for checks to refuse."""
-    key = "user_key" if "user_key" in users.columns else "msno"
-    df = labels.dropDuplicates(["source_file_key", "source_row_number"]).join(users.select(*dict.fromkeys(["msno", key])), "msno").join(F.broadcast(files), "source_file_key")
+def fact_churn(labels: DataFrame, users: DataFrame | None, files: DataFrame) -> DataFrame:
+    """A user's label in a cohort; repeated lineage is dropped, a repeated (user, cohort) is for checks to refuse.
+
+    Without users, msno stands for the user: every labelled user is a canonical one, so that join would drop no row and
+    would only make the identities of all sources be gathered first."""
+    key = "user_key" if users is not None and "user_key" in users.columns else "msno"
+    df = labels.dropDuplicates(["source_file_key", "source_row_number"])
+    if users is not None:
+        df = df.join(users.select(*dict.fromkeys(["msno", key])), "msno")
+    df = df.join(F.broadcast(files), "source_file_key")  # a row for each registered file
     return df.select(key, "expiry_cohort_month", "is_churn", F.col("source_file").alias("label_source"), "source_file_key", "source_row_number")
 
 
