@@ -39,6 +39,8 @@ from cadenza.llm.common import CHUNK_BYTES, LOWER_BYTES, kept, raw_text, text_ba
 from cadenza.llm.components import components
 
 WORDS, SEED, LIMIT, BUCKET = 4, 42, 4, 1 << 16
+#: Groups of more than one fingerprint, 16 bytes each, that are broadcast at most.
+BROADCAST_GROUPS = 200_000
 #: Relative costs of a row sent and of two fingerprints compared.
 ROW_COST, PAIR_COST = 1.0, 0.01
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -295,7 +297,9 @@ def near_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS, seed: i
     found = components(linked(fps.select("fp"), limit, bucket))
     roots = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
     known = kept(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("more")), "classes")
-    least = known.where("more").groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("least"))
+    least = kept(known.where("more").groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("least")), "least")
+    if least.count() <= BROADCAST_GROUPS:  # then a group of very many rows is not dealt out by its root
+        least = F.broadcast(least)
     known = known.join(least, F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), "root", F.when(F.col("more"), F.col("least")).otherwise(F.col("doc")).alias("component_id"))
     return docs.join(known, F.col("fp") == F.col("f")).select("doc_id", "fp", "root", "component_id")
 
