@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import ALNUM, Words, checkpoint_root, grams, mix, powers, raw_text, text_batches
 
-SPAN, K, BLOCK_BYTES = 13, 5, 8 << 20
+SPAN, K, BLOCK_BYTES = 13, 5, 4 << 20
 OUT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -38,28 +38,30 @@ OUT = T.StructType(
 
 
 class Index:
-    """Windows of a block of items: by length the sorted hashes, one place of each in the items' words, and its items."""
+    """Windows of a block of items: by length the sorted hashes, a place of each in the items' words, and its items."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, k: int = K):
         self.span, self.k = span, min(k, span)
         self.ids = sorted({i for i, _ in items})
         number = {x: n for n, x in enumerate(self.ids)}
         off = np.cumsum([0, *[len(t) for _, t in items]]).astype(np.int64)
-        words = Words(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), off, ALNUM)
+        self.words = words = Words(np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), off, ALNUM)
         sizes = np.diff(words.first)
-        self.windows: dict[int, tuple[np.ndarray, list[tuple[bytes, ...]], list[frozenset[int]]]] = {}
-        self.kept = np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.array([number[i] for i, _ in items], dtype=np.int64), sizes)
+        left = np.repeat(words.first[1:], sizes) - np.arange(len(words.hash))  # words from here to the item's end
+        size = np.repeat(sizes, sizes)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({min(span, int(s)) for s in sizes if s}):
-            found: dict[int, tuple[tuple[bytes, ...], set[int]]] = {}
-            g = grams(words.hash, n)
-            for i in np.flatnonzero((sizes >= span) if n == span else (sizes == n)):
-                for p in range(words.first[i], words.first[i + 1] - n + 1):
-                    found.setdefault(int(g[p]), (words.span(p, n), set()))[1].add(number[items[i][0]])
-            keys = np.array(sorted(found), dtype=np.uint64)
-            self.windows[n] = keys, [found[int(x)][0] for x in keys], [frozenset(found[int(x)][1]) for x in keys]
-        if span in self.windows:
-            at = winnowed(words, self.span, self.k)
-            self.kept = np.unique(grams(words.hash, self.k)[at])
+            place = np.flatnonzero((left >= n) & ((size >= span) if n == span else (size == n)))
+            keys, first, which = np.unique(grams(words.hash, n)[place], return_index=True, return_inverse=True)
+            pairs = np.unique(which * max(len(self.ids), 1) + owner[place])
+            window, item = np.divmod(pairs, max(len(self.ids), 1))
+            self.windows[n] = keys, place[first], np.searchsorted(window, np.arange(len(keys) + 1)), item
+        self.kept = np.unique(grams(words.hash, self.k)[winnowed(words, self.span, self.k)]) if span in self.windows else np.zeros(0, dtype=np.uint64)
+
+    def owners(self, n: int, window: int) -> list[int]:
+        _, _, at, item = self.windows[n]
+        return item[at[window] : at[window + 1]].tolist()
 
 
 def winnowed(words: Words, span: int, k: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def hits(words: Words, index: Index) -> tuple[np.ndarray, dict[int, set[int]]]:
     cover, items = np.zeros(n_words + 1, dtype=np.int64), {}
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     end = np.repeat(words.first[1:], np.diff(words.first))
-    for n, (keys, spelled, owners) in index.windows.items():
+    for n, (keys, place, _, _) in index.windows.items():
         if n == index.span:
             kept = winnowed(words, index.span, index.k)
             kept = kept[_lookup(index.kept, grams(words.hash, index.k)[kept]) >= 0]
@@ -111,10 +113,10 @@ def hits(words: Words, index: Index) -> tuple[np.ndarray, dict[int, set[int]]]:
             g = grams(words.hash, n)[start]
         at = _lookup(keys, g)
         for s, w in zip(start[at >= 0].tolist(), at[at >= 0].tolist(), strict=True):
-            if words.span(s, n) == spelled[w]:
+            if words.span(s, n) == index.words.span(int(place[w]), n):
                 cover[s] += 1
                 cover[s + n] -= 1
-                items.setdefault(int(text[s]), set()).update(owners[w])
+                items.setdefault(int(text[s]), set()).update(index.owners(n, w))
     return np.cumsum(cover[:-1]) > 0, items
 
 
