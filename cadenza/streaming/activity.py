@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,12 +111,39 @@ def _save(path: str, manifest: dict) -> None:
     os.replace(temp, path)
 
 
-def run(spark: SparkSession, paths: list[str], out: str, max_rows: int | None = None, resume: bool = False) -> dict:
+@contextmanager
+def lock(path: str):
+    """One run at a time in a folder: a lock file that only its maker can make."""
+    try:
+        f = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise RuntimeError(f"{path}: another run is at work here, or one was killed; then remove this file") from None
+    try:
+        os.write(f, str(os.getpid()).encode())
+        os.close(f)
+        yield
+    finally:
+        os.remove(path)
+
+
+def run(spark: SparkSession, paths: list[str], out: str, max_rows: int | None = None, resume: bool = False, restart: bool = False) -> dict:
     """A run over CSV files on the driver's file system, with a manifest beside the output.
 
     A finished run with the same configuration and unchanged files is left alone on resume; a failed one is done again,
-    its months replaced.  A configuration or file that has changed is refused."""
+    its months replaced.  A configuration or file that has changed is refused, unless ``restart`` clears what an earlier
+    run left: its manifest and its daily folder, nothing else."""
+    if resume and restart:
+        raise ValueError("resume or restart, not both")
     os.makedirs(out, exist_ok=True)
+    with lock(os.path.join(out, ".lock")):
+        if restart:
+            shutil.rmtree(os.path.join(out, "daily"), ignore_errors=True)
+            if os.path.exists(os.path.join(out, "manifest.json")):
+                os.remove(os.path.join(out, "manifest.json"))
+        return _run(spark, paths, out, max_rows, resume)
+
+
+def _run(spark: SparkSession, paths: list[str], out: str, max_rows: int | None, resume: bool) -> dict:
     place = os.path.join(out, "manifest.json")
     configuration = {"files": _files(paths), "max_rows": max_rows}
     if os.path.exists(place):

@@ -98,3 +98,22 @@ def test_first_broken_rule(spark, field, value, reason):
 def test_order_of_rules(spark):
     row = {"msno": "u", "date": "x", **dict.fromkeys(A.COUNTS, "y"), "total_secs": "z", A.CORRUPT: None}
     assert A.validated(spark.createDataFrame([row], A.RAW)).first()["reason"] == "invalid_date"
+
+
+def test_restart_and_lock(spark, logs, tmp_path):
+    out = tmp_path / "out"
+    A.run(spark, logs, str(out))
+    (out / "mine.txt").write_text("stays")
+    assert A.run(spark, logs[1:], str(out), restart=True)["reconciliation"]["source_record_count"] == 3
+    assert (out / "mine.txt").exists() and not (out / ".lock").exists()
+    with A.lock(str(out / ".lock")), pytest.raises(RuntimeError, match="another run"):
+        A.run(spark, logs, str(out), restart=True)
+
+
+def test_command_line(spark, logs, capsys, tmp_path):
+    from cadenza.__main__ import main
+
+    assert main(["fingerprint", "--files", logs[0]]) == 0 and "sha256" in capsys.readouterr().out
+    assert main(["list"]) == 0 and "agg09" in capsys.readouterr().out
+    assert main(["fingerprint", "--files", str(tmp_path / "none")]) == 1
+    assert main(["activity", "--files", logs[1], "--output-dir", str(tmp_path / "o")]) == 0
