@@ -25,7 +25,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 #: Text handled at once by numpy; only a single word longer than this makes a chunk larger.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, dtype=np.uint64)

@@ -147,7 +147,7 @@ def _writer(folder: str, path: str, end_id: int):
         part = TaskContext.get().partitionId()
         end, wide = np.array([end_id], dtype=encoder.kind).tobytes(), encoder.kind.itemsize == 4
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        for batch in text_batches(batches, 2 * CHUNK_BYTES):
+        for batch in text_batches(batches, 4 * CHUNK_BYTES):
             if store is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
