@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -723,3 +723,145 @@ def _(t):
 def _(t):
     t.fact.createOrReplaceTempView("_fact")
     return t.spark.sql("WITH seen AS (SELECT DISTINCT trunc(transaction_date, 'MM') AS month, msno FROM _fact) SELECT month, count(*) AS users FROM seen GROUP BY 1")
+
+
+# ---- constructs and rules on rows given in the query
+
+@query("prj17_coalesce", "SELECT coalesce(source_file, 'all_sources') AS source_scope, coalesce(band, price_rel, plan_rel) AS category, count(*) AS records FROM tx GROUP BY GROUPING SETS ((source_file, band), (band), (price_rel), (plan_rel))")
+def _(t):
+    x = t.fact.select("source_file", d.plan_band(F.col("payment_plan_days")).alias("band"), "price_relationship", "plan_expiry_relationship")
+    x = x.groupingSets([["source_file", "band"], ["band"], ["price_relationship"], ["plan_expiry_relationship"]], "source_file", "band", "price_relationship", "plan_expiry_relationship").agg(F.count(F.lit(1)).alias("records"))
+    return x.select(F.coalesce("source_file", F.lit("all_sources")).alias("source_scope"), F.coalesce("band", "price_relationship", "plan_expiry_relationship").alias("category"), "records")
+
+
+@query("prj21_exact_rate", "SELECT source_file, (1000000000 * count(*) FILTER (WHERE renew)) // count(*) AS nano_renew, CAST(NULL AS BIGINT) AS without FROM tx GROUP BY 1")
+def _(t):
+    n = t.fact.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_auto_renew").alias("r"))
+    nano = lambda x: F.floor(x * 1000000000).cast("long")  # noqa: E731  the rate itself has more digits than the two engines share
+    return n.select("source_file", nano(d.rate(F.col("r"), F.col("n"))).alias("nano_renew"), nano(d.rate(F.col("r"), F.col("n") - F.col("n"))).alias("without"))
+
+
+@query("prj28_bound_values", "SELECT 'it''s | \"quoted\"' AS value, count(*) FILTER (WHERE source_file = 'transactions_v2') AS n FROM tx")
+def _(t):
+    t.fact.createOrReplaceTempView("_fact")
+    return t.spark.sql("SELECT :value AS value, count(*) FILTER (WHERE source_file = :file) AS n FROM _fact", args={"value": 'it\'s | "quoted"', "file": "transactions_v2"})
+
+
+@query("prj29_escaped_values", "SELECT replace(replace(replace(replace('<' || source_file || ' | ' || band || '>&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '\\|') AS shown, count(*) AS n FROM tx GROUP BY 1")
+def _(t):
+    raw = F.concat(F.lit("<"), F.col("source_file"), F.lit(" | "), d.plan_band(F.col("payment_plan_days")), F.lit(">&"))
+    return t.fact.groupBy(d.escaped(raw).alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jon04_segment_by_key", f"SELECT cohort AS expiry_cohort_month, {GROUPS['gender'][1]} AS gender_group, count(*) AS cohort_users, count(*) FILTER (WHERE is_churn) AS churned_users FROM labels JOIN users USING (msno) GROUP BY 1, 2")
+def _(t):
+    u = model.dim_user(t.members, t.labels, t.tx)
+    seen = model.fact_churn(t.labels, u, t.files).join(u, "user_key")
+    group = d.gender_group(F.col("has_member_metadata"), F.col("gender"))
+    return seen.groupBy("expiry_cohort_month", group.alias("gender_group")).agg(F.count(F.lit(1)).alias("cohort_users"), F.count_if("is_churn").alias("churned_users"))
+
+
+@query("ord01_mixed_order", f"SELECT cohort AS expiry_cohort_month, {GROUPS['city'][1]} AS city_group, count(*) AS cohort_users, CAST(row_number() OVER (ORDER BY cohort, count(*) DESC, {GROUPS['city'][1]}) AS INTEGER) AS place FROM labels JOIN users USING (msno) GROUP BY 1, 2")
+def _(t):
+    rows = views.segment_churn(t.churn, t.users, *views.segments()["city"])  # a row for each city and cohort
+    place = F.row_number().over(Window.orderBy("expiry_cohort_month", F.col("cohort_users").desc(), "city_group"))
+    return rows.select("expiry_cohort_month", "city_group", "cohort_users", place.alias("place"))
+
+
+@query("ord02_nulls_last", "SELECT gender, count(*) AS n, CAST(row_number() OVER (ORDER BY gender ASC NULLS LAST) AS INTEGER) AS place FROM users GROUP BY 1")
+def _(t):
+    n = t.users.groupBy("gender").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("gender").asc_nulls_last())))
+
+
+@query("ord03_daily_order", "SELECT DISTINCT day AS activity_date, msno FROM logs ORDER BY day, msno")
+def _(t):
+    return activity.daily(t.logs).select("activity_date", "msno").orderBy("activity_date", "msno")
+
+
+@query("ord05_exists_limit", "SELECT EXISTS (SELECT 1 FROM labels WHERE is_churn LIMIT 1) AS some, EXISTS (SELECT 1 FROM labels WHERE msno = '' LIMIT 1) AS without")
+def _(t):
+    some = lambda df, c: df.limit(1).agg((F.count(F.lit(1)) > 0).alias(c))
+    return some(t.labels.where("is_churn"), "some").crossJoin(some(t.labels.where("msno = ''"), "without"))
+
+
+@query("ord07_sort_columns", "SELECT 'plan' AS kind, band AS category, CAST(band_order AS INTEGER) AS category_sort FROM tx GROUP BY ALL UNION ALL SELECT 'price', price_rel, CASE price_rel WHEN 'equal' THEN 1 WHEN 'paid_below_list' THEN 2 ELSE 3 END FROM tx GROUP BY ALL")
+def _(t):
+    x = views.distributions(t.fact).select("distribution", "category", "category_sort")
+    return x.select(F.when(F.col("distribution") == "payment_plan_days", "plan").otherwise("price").alias("kind"), "category", "category_sort")
+
+
+@query("flt13_14_text_profile", "SELECT count(*) FILTER (WHERE k = '') AS empty, count(*) FILTER (WHERE k <> '' AND regexp_full_match(k, '[+-]?[0-9]+')) AS integers, count(*) FILTER (WHERE k <> '' AND NOT regexp_full_match(k, '[+-]?[0-9]+')) AS others, count(*) FILTER (WHERE regexp_full_match(day, '[0-9]{8}')) AS date_shaped, count(*) FILTER (WHERE regexp_full_match(day, '[0-9]{8}') AND try_strptime(day, '%Y%m%d') IS NOT NULL) AS days FROM (SELECT CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN ' 7 ' WHEN event_id % 3 = 0 THEN '-' || event_id ELSE '+' || event_id END AS k, CASE WHEN event_id % 13 = 0 THEN '20170230' WHEN event_id % 11 = 0 THEN '2017-1-1' ELSE '20160229' END AS day FROM events)", base=False)
+def _(t):
+    n = F.col("event_id")
+    x = t.raw("events").select(
+        F.when(n % 5 == 0, "").when(n % 7 == 0, " 7 ").when(n % 3 == 0, F.concat(F.lit("-"), n)).otherwise(F.concat(F.lit("+"), n)).alias("k"),
+        F.when(n % 13 == 0, "20170230").when(n % 11 == 0, "2017-1-1").otherwise("20160229").alias("day"),
+    )
+    k, whole = F.col("k"), d.is_integer_text(F.col("k"))
+    return x.agg(F.count_if(k == "").alias("empty"), F.count_if((k != "") & whole).alias("integers"), F.count_if((k != "") & ~whole).alias("others"), F.count_if(F.col("day").rlike(r"\A[0-9]{8}\z")).alias("date_shaped"), F.count_if(d.is_date_text(F.col("day"))).alias("days"))
+
+
+SHA = "repeat('a', 64)"
+MANIFEST = f"('a.csv', 'raw/a.csv', 1, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)), ('a.csv', 'raw/a.csv', 1, 5, NULL), ('b.csv', 'raw/b.csv', 2, 7, {SHA}), ('b.csv', 'raw/b.csv', 2, 7, {SHA}), ('b.csv', 'raw/b.csv', 2, NULL, NULL), ('', 'raw/c.csv', 3, 1, NULL), ('d.csv', ' ', 3, 1, NULL), ('e.csv', 'raw/e.csv', -1, 1, NULL), ('f.csv', 'raw/f.csv', 4, -1, NULL), ('g.csv', 'raw/g.csv', 4, 1, 'not-a-hash'), ('h.csv', 'raw/h.csv', 4, 1, upper({SHA}))"
+MANIFEST_COLUMNS = "m(file_name, relative_path, file_size_bytes, row_count, sha256)"
+
+
+@query("chk01_02_08_manifest_rules", f"""WITH m AS (SELECT * FROM (VALUES {MANIFEST}) {MANIFEST_COLUMNS})
+  SELECT 'file_name_not_empty' AS rule, count(*) FILTER (WHERE trim(file_name) = '') AS row_count FROM m UNION ALL SELECT 'relative_path_not_empty', count(*) FILTER (WHERE trim(relative_path) = '') FROM m
+  UNION ALL SELECT 'file_size_not_negative', count(*) FILTER (WHERE file_size_bytes < 0) FROM m UNION ALL SELECT 'row_count_not_negative', count(*) FILTER (WHERE row_count < 0) FROM m
+  UNION ALL SELECT 'sha256_is_lowercase_hex', count(*) FILTER (WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')) FROM m
+  UNION ALL SELECT 'unique_hashed_file', count(*) FROM (SELECT 1 FROM m WHERE sha256 IS NOT NULL GROUP BY relative_path, file_size_bytes, sha256 HAVING count(*) > 1)
+  UNION ALL SELECT 'unique_unhashed_file', count(*) FROM (SELECT 1 FROM m WHERE sha256 IS NULL GROUP BY relative_path, file_size_bytes HAVING count(*) > 1)""", base=False)
+def _(t):
+    rows = t.spark.sql(f"SELECT * FROM VALUES {MANIFEST.replace('VARCHAR', 'STRING')} AS {MANIFEST_COLUMNS}")
+    out = None
+    for c in checks.manifest_checks(rows):
+        out = c if out is None else out.union(c)
+    return out
+
+
+@query("chk07_golden_rows", "SELECT 'transitions' AS rule, CAST(0 AS BIGINT) AS row_count UNION ALL SELECT 'one_row_off', 2", base=False)
+def _(t):
+    found = views.churn_transitions(t.churn, COHORTS).select("feb_label", "mar_label", "users")
+    at = lambda c, n: t.churn.where(F.col("expiry_cohort_month") == F.lit(c).cast("date")).select("msno", d.status(F.col("is_churn")).alias(n))
+    golden = at(COHORTS[0], "feb_label").join(at(COHORTS[1], "mar_label"), "msno").groupBy("feb_label", "mar_label").agg(F.count(F.lit(1)).alias("users"))
+    off = golden.withColumn("users", F.col("users") + F.when((F.col("feb_label") == "churn") & (F.col("mar_label") == "churn"), 1).otherwise(0))
+    return checks.same_rows(found, golden, "transitions").union(checks.same_rows(found, off, "one_row_off"))
+
+
+GOLDEN = "(30, 149, 99, DATE '2017-01-01', DATE '2017-01-31'), (30, 99, 149, DATE '2017-02-10', DATE '2017-02-01'), (0, 0, 0, DATE '2017-01-01', DATE '2019-01-02'), (0, 1, 1, DATE '2017-01-01', DATE '2017-01-01'), (0, 1, 1, DATE '2017-01-01', DATE '2019-01-01')"
+
+
+@query("chk09_golden_examples", """SELECT * FROM (VALUES (30, 50, 'paid_below_list', 30, false, false, false, 'equal'), (30, -50, 'paid_above_list', -9, true, false, false, 'expiry_shorter'), (0, 0, 'equal', 731, false, false, true, 'expiry_longer'), (0, 0, 'equal', 0, false, true, false, 'equal'), (0, 0, 'equal', 730, false, false, false, 'expiry_longer'))
+  g(payment_plan_days, price_difference, price_relationship, expiry_delta_days, has_negative_expiry_delta, has_zero_expiry_delta, has_long_expiry_delta, plan_expiry_relationship)""", base=False)
+def _(t):
+    rows = t.spark.sql(f"SELECT * FROM VALUES {GOLDEN} AS g(payment_plan_days, plan_list_price, actual_amount_paid, transaction_date, membership_expire_date)")
+    return d.transaction_columns(rows).drop("plan_list_price", "actual_amount_paid", "transaction_date", "membership_expire_date")
+
+
+@query("snk04_duplicate_refused", "SELECT 'user_and_cohort_unique' AS rule, count(*) AS row_count FROM (SELECT msno FROM labels WHERE file = 2)")
+def _(t):
+    again = t.labels.where("source_file_key = 2").withColumn("source_row_number", F.col("source_row_number") + F.lit(1 << 40))
+    broken = checks.churn_checks(model.fact_churn(t.labels.union(again), None, t.files), t.users, "msno")[0]
+    return broken.select("rule", "row_count")
+
+
+@query("msc02_group_ordinals", "SELECT CAST(date_trunc('month', tx) AS DATE) AS month, source_file AS scope, count(*) AS n FROM tx GROUP BY 1, 2")
+def _(t):
+    t.fact.createOrReplaceTempView("_fact")
+    return t.spark.sql("SELECT trunc(transaction_date, 'MM') AS month, source_file AS scope, count(*) AS n FROM _fact GROUP BY 1, scope")
+
+
+@query("msc06_08_view_over_summary", f"SELECT cohort AS expiry_cohort_month, {pct('count(*) FILTER (WHERE is_churn)', 'count(*)')} AS churn_rate FROM labels GROUP BY 1")
+def _(t):
+    from cadenza.sources.files import refresh
+
+    refresh(views.cohort_summary(t.churn).drop("churn_rate"), scratch(t, "summary")).createOrReplaceTempView("_cohort_summary")
+    return rounded(t.spark.sql("SELECT * FROM _cohort_summary"), churn_rate=("churned_count", "observation_count")).select("expiry_cohort_month", "churn_rate")
+
+
+@query("msc09_one_row_of_aggregates", "SELECT count(*) AS row_count, count(DISTINCT msno) AS users, min(day) AS first_day, max(day) AS last_day, CAST(sum(secs) AS DECIMAL(38,2)) AS total_secs FROM logs")
+def _(t):
+    x = F.col("activity_date")
+    return t.logs.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"), F.min(x).alias("first_day"), F.max(x).alias("last_day"), F.sum("total_secs").cast("decimal(38,2)").alias("total_secs"))

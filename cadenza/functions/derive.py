@@ -135,6 +135,13 @@ def plain_decimal(x: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, r"0+\z", ""), r"\.\z", "")).otherwise(text)
 
 
+def escaped(c: Column) -> Column:
+    """A source value that is safe in a cell of a table: HTML characters as references, pipes with a backslash."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("|", "\\|")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
 def digest(namespace: str, *columns: Column) -> Column:
     """SHA-256 over fields, each led by its length in eight bytes, so that no two different rows run together."""
     field = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c).cast("bigint")), 16, "0")), F.encode(c, "UTF-8"))
