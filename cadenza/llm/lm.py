@@ -88,10 +88,24 @@ def _cut(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Re
     shift = np.uint64(64 - max(buckets.bit_length() - 1, 0))
     at = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), dtype=np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-    ends = [*first[1:].tolist(), len(keys)]
-    counts = counts.astype("<u4") if not len(counts) or counts.max() < 1 << 32 else counts.astype("<u8")
-    cut = lambda x: [x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)] if len(first) else []
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), pa.array(at[first] if len(first) else [], pa.int32()), pa.array(cut(keys), pa.binary()), pa.array(cut(counts), pa.binary())], names=["kind", "bucket", "keys", "counts"])
+    bucket, first = at[first], first.tolist()
+    spans = list(zip(first, [*first[1:], len(keys)], strict=True)) if first else []
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), pa.array(bucket, pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_narrow(counts[a:b]) for a, b in spans], pa.binary())], names=["kind", "bucket", "keys", "counts"])
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs: 1, 2, 4 or 8."""
+    most = int(counts.max(initial=0))
+    return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)}").tobytes()
+
+
+def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different hashes and how often each comes; empties parts, so that a run is held once."""
+    x = np.concatenate(parts)
+    parts.clear()
+    x.sort()
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[first], np.diff(first, append=len(x))
 
 
 COUNTED = "kind int, bucket int, keys binary, counts binary"
@@ -106,19 +120,20 @@ def _count(buckets: int, run_tokens: int):
             pairs.append(pair_key(before, word))
             n += len(word)
             if n >= run_tokens:
-                yield _cut(WORD, *np.unique(np.concatenate(words), return_counts=True), buckets)
-                yield _cut(PAIR, *np.unique(np.concatenate(pairs), return_counts=True), buckets)
-                words, pairs, n = [], [], 0
+                yield _cut(WORD, *_tally(words), buckets)
+                yield _cut(PAIR, *_tally(pairs), buckets)
+                n = 0
+                pa.default_memory_pool().release_unused()
         if n:
-            yield _cut(WORD, *np.unique(np.concatenate(words), return_counts=True), buckets)
-            yield _cut(PAIR, *np.unique(np.concatenate(pairs), return_counts=True), buckets)
+            yield _cut(WORD, *_tally(words), buckets)
+            yield _cut(PAIR, *_tally(pairs), buckets)
 
     return run
 
 
 def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     k = np.frombuffer(keys, dtype="<u8")
-    return k, np.frombuffer(counts, dtype="<u4" if len(counts) == 4 * len(k) else "<u8").astype(np.int64)
+    return k, np.frombuffer(counts, dtype=f"<u{len(counts) // len(k) if len(k) else 8}").astype(np.int64)
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +180,7 @@ def _reduce(buckets: int):
         kind, bucket = key[0].as_py(), key[1].as_py()
         keys, counts = _summed(table)
         bits, m, entries = segment(keys, counts)
-        rows = [(kind, bucket, keys.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), bits, m, entries, len(keys), int(counts.sum()))]
+        rows = [(kind, bucket, keys.astype("<u8").tobytes(), _narrow(counts), bits, m, entries, len(keys), int(counts.sum()))]
         if kind == PAIR:
             word, n = np.unique(unmix(keys) >> U32, return_counts=True)
             own = mix(word)
@@ -180,7 +195,7 @@ def _reduce(buckets: int):
 def _reduce_after(key: tuple, table: pa.Table) -> pa.Table:
     keys, counts = _summed(table)
     bits, m, entries = segment(keys, counts)
-    return _rows([(AFTER, key[0].as_py(), keys.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), bits, m, entries, len(keys), int(counts.sum()))])
+    return _rows([(AFTER, key[0].as_py(), keys.astype("<u8").tobytes(), _narrow(counts), bits, m, entries, len(keys), int(counts.sum()))])
 
 
 class Filter:
@@ -194,8 +209,7 @@ class Filter:
             self.bits[r["kind"], r["bucket"]] = r["bits"]
             self.data += r["segment"]
             if r["kind"] == WORD:
-                counts = np.frombuffer(r["counts"], dtype="<u8")
-                words[r["bucket"]] = bytes(r["keys"]), counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8").tobytes() if len(counts) else b""
+                words[r["bucket"]] = bytes(r["keys"]), bytes(r["counts"])
         self.data = bytes(self.data)  # a pickled bytearray would be held twice on loading
         self.words, self.buckets = words, buckets
 
