@@ -3,7 +3,10 @@
 The vocabulary is a trie with two roots: pieces that begin a word, and pieces that go on with it.  Every node has a
 failure link (where to go on when no child fits, once the longest pieces inside its path are cut off) and the number of
 pieces so cut off.  A word is read once, letter by letter; the popped counts add up to the number of pieces of the greedy
-longest-match split, and no piece is ever built.  A word that cannot be split is one (unknown) token.
+longest-match split, and no piece is ever built.  A SentencePiece model reads the mark and then the word: where the mark
+is a piece of its own, the word goes on after it, and a character that begins no piece is its UTF-8 byte pieces (one
+unknown token, where the model has not all of them).  For a vocabulary without that rule, a word that cannot be split is
+one (unknown) token.
 
 Scale: a narrow pass over the texts; the vocabulary is broadcast (its size does not follow the data), each worker keeps
 the counts of words it has met, up to ``REMEMBERED``.
@@ -24,16 +27,26 @@ from pyspark.sql import DataFrame
 from cadenza.llm.common import CHUNK_BYTES, raw_text, text_batches
 
 REMEMBERED = 600_000
+MARK = "▁"
 _MADE: dict[str, Automaton] = {}
 
 
 class Automaton:
-    def __init__(self, begin: Iterable[str], go_on: Iterable[str]):
+    """``begin`` may hold the empty piece: a mark of its own before the word.  ``byte_pieces``: the bytes that have a
+    piece, for a vocabulary that splits every word; by default a word that cannot be split is one token."""
+
+    def __init__(self, begin: Iterable[str], go_on: Iterable[str], byte_pieces: Iterable[int] | None = None):
+        begin = list(begin)
         self.next: list[dict[str, int]] = [{}, {}]  # 0: root of a word's beginning, 1: root of its rest
         self.fail: list[int] = [-1, -1]
         self.popped: list[int] = [0, 0]
         self.known: dict[bytes, int] = {}
         piece = {self._add(0, p) for p in begin if p} | {self._add(1, p) for p in go_on if p}
+        self.bytes = None if byte_pieces is None else frozenset(byte_pieces)
+        if "" in begin:
+            self.fail[0], self.popped[0] = 1, 1
+        elif self.bytes is not None:
+            self.fail[0], self.popped[0] = 1, self._outside(MARK)
         queue = deque([0, 1])
         while queue:
             u = queue.popleft()
@@ -48,6 +61,13 @@ class Automaton:
                     z = self.fail[z]
                 if z >= 0:
                     self.fail[v], self.popped[v] = self.next[z][c], n
+                elif self.bytes is not None:
+                    self.fail[v], self.popped[v] = 1, n + self._outside(c)
+
+    def _outside(self, c: str) -> int:
+        """Tokens of a character that begins no piece."""
+        raw = c.encode("utf-8", "replace")
+        return len(raw) if self.bytes.issuperset(raw) else 1
 
     def _add(self, root: int, piece: str) -> int:
         for c in piece:
@@ -60,15 +80,18 @@ class Automaton:
         return root
 
     def count(self, word: str) -> int:
-        """Pieces of a word, 1 for one that cannot be split."""
+        """Pieces of a word; without byte pieces 1 for one that cannot be split."""
         step, fail, popped, u, n = self.next, self.fail, self.popped, 0, 0
         for c in word:
             while c not in step[u]:
                 n += popped[u]
                 u = fail[u]
                 if u < 0:
-                    return 1
-            u = step[u][c]
+                    if self.bytes is None:
+                        return 1
+                    n += self._outside(c)
+                    break
+            u = step[u][c] if u >= 0 else 1
         while u > 1:
             n += popped[u]
             u = fail[u]
@@ -77,13 +100,15 @@ class Automaton:
         return n
 
 
-def sentencepiece_pieces(path: str, mark: str = "▁") -> tuple[list[str], list[str]]:
-    """Of a SentencePiece model the pieces that begin a word, and those that go on with one."""
+def sentencepiece_pieces(path: str, mark: str = MARK) -> tuple[list[str], list[str], list[int]]:
+    """Of a SentencePiece model the pieces that begin a word (without their mark), those that may follow (all: a word may
+    hold the mark as a letter), and the bytes that have a piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return [p[1:] for p in pieces if p.startswith(mark)], [p for p in pieces if not p.startswith(mark)]
+    raw = [int(model.id_to_piece(i)[3:-1], 16) for i in range(model.get_piece_size()) if model.is_byte(i)]
+    return [p[len(mark) :] for p in pieces if p.startswith(mark)], pieces, raw
 
 
 def _count(vocabulary, keep: list[str]):
@@ -109,10 +134,10 @@ def _count(vocabulary, keep: list[str]):
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]], columns: list[str] | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]] | tuple[list[str], list[str], list[int]], columns: list[str] | None = None) -> DataFrame:
     """``columns`` of docs (default: all) with n_words (runs without ASCII white space) and n_tokens long.
 
-    ``vocabulary``: pieces that begin a word, pieces that go on with one."""
+    ``vocabulary``: pieces that begin a word, pieces that go on with one, and where it has them the byte pieces."""
     keep = [c for c in (docs.columns if columns is None else columns) if c not in ("n_words", "n_tokens")]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in keep)
     keep = [f.name for f in docs.schema.fields if f.name in keep]

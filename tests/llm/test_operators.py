@@ -346,6 +346,31 @@ def test_token_counts(docs, empty):
     assert wordpiece.token_counts(empty, vocabulary).count() == 0
 
 
+def greedy(word, begin, go_on, raw):
+    """The split of the mark and the word by whole pieces; a character outside is its bytes, or one."""
+    text, have, at, n = "▁" + word, {"▁" + p for p in begin} | set(go_on), 0, 0
+    while at < len(text):
+        to = next((j for j in range(len(text), at, -1) if text[at:j] in have), None)
+        b = text[at].encode()
+        n += 1 if to or not set(b) <= set(raw) else len(b)
+        at = to or at + 1
+    return n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abé", max_size=4), max_size=10), st.sets(st.text("abé", min_size=1, max_size=4), max_size=10), st.sampled_from([range(256), range(128)]), st.text("abéñ", min_size=1, max_size=12))
+def test_no_word_is_given_up(begin, go_on, raw, word):
+    assert wordpiece.Automaton(begin, go_on, raw).count(word) == greedy(word, begin, go_on, raw)
+
+
+def test_words_of_the_model_without_a_piece_at_their_start():
+    vocabulary = wordpiece.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    count = wordpiece.Automaton(*vocabulary).count
+    assert (count("1999"), count("ñgaó"), count("日本語の文章です")) == (5, 4, 9)
+    for w in ("the", "word\U0001f9ff", "\u1234\u1235", "a▁b", "▁", "çedilha", "x" * 300):
+        assert count(w) == greedy(w, *vocabulary)
+
+
 # ---- 8
 
 
