@@ -9,8 +9,10 @@ a word never seen.  A text is its words and one end token, which also stands bef
 Scale: each task counts its own rows by sorting hashes in bounded runs and sends one packed array for each run and
 range of hashes ("bucket"); hashes spread every word's pairs over all buckets, so a frequent word makes no large one.
 Each bucket fills its own segment of the filter.  The number of buckets follows the bytes of text.  Filter and exact
-word counts are broadcast while they take at most ``broadcast_bytes``; beyond that the same numbers come by joins (one
-row for each different pair of a text, then sums by text), with the same results but for the filter's false positives.
+word counts are broadcast while they take at most ``broadcast_bytes``; beyond that each chunk of texts sends its
+different keys to the segment of their bucket, which is probed there, and gets the levels back: the same filter, the same
+levels and the same scores at every size.  With ``broadcast_bytes`` of 0 there is no filter at all: a caller who asks for
+that gets the scores without false positives, from exact counts by joins.
 
 Defined cases: a null or empty text is the end token alone; repeated rows count and score as often as they come; with no
 training row every c, N and V is 0 and scores are 0; other columns are left behind.
@@ -253,27 +255,30 @@ def _smoothed(pair, before, after, word, size):
     return np.where((before > 0) & (after > 0), (pair + after * p) / np.maximum(before + after, 1), p)
 
 
+def _scores(batch: pa.RecordBatch, model: Filter | Answers, n: int, v: int) -> pa.RecordBatch:
+    size = n + v + 1
+    word, before, first = tokens(*raw_text(batch.column("text")))
+    keys, at = np.unique(word, return_inverse=True)
+    exact = model.exact(keys)
+    base = np.log10((exact + 1) / size)
+    about = VALUES[model.level(WORD, keys)]
+    after = VALUES[model.level(AFTER, after_key(keys))]
+    end = int(np.searchsorted(keys, END))
+    prev = np.empty_like(at)
+    prev[1:] = at[:-1]
+    prev[first[:-1]] = end
+    pairs, which = np.unique(pair_key(before, word), return_inverse=True)
+    pair = VALUES[model.level(PAIR, pairs)][which]
+    p = np.log10(_smoothed(pair, about[prev], after[prev], about[at], size))
+    add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first), pa.int64()), pa.array(add((exact > 0).astype(np.int64)[at]), pa.int64()), pa.array(np.full(len(first) - 1, n), pa.int64()), pa.array(add(base[at]), pa.float64()), pa.array(add(p) if n else np.zeros(len(first) - 1), pa.float64())], names=SCORED_NAMES)
+
+
 def _score(sent, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
-        model: Filter = sent.value
-        size = n + v + 1
         for batch in text_batches(batches, CHUNK_BYTES):
-            word, before, first = tokens(*raw_text(batch.column("text")))
-            keys, at = np.unique(word, return_inverse=True)
-            exact = model.exact(keys)
-            base = np.log10((exact + 1) / size)
-            about = VALUES[model.level(WORD, keys)]
-            after = VALUES[model.level(AFTER, after_key(keys))]
-            end = int(np.searchsorted(keys, END))
-            prev = np.empty_like(at)
-            prev[1:] = at[:-1]
-            prev[first[:-1]] = end
-            pairs, which = np.unique(pair_key(before, word), return_inverse=True)
-            pair = VALUES[model.level(PAIR, pairs)][which]
-            p = np.log10(_smoothed(pair, about[prev], after[prev], about[at], size))
-            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first), pa.int64()), pa.array(add((exact > 0).astype(np.int64)[at]), pa.int64()), pa.array(np.full(len(first) - 1, n), pa.int64()), pa.array(add(base[at]), pa.float64()), pa.array(add(p) if n else np.zeros(len(first) - 1), pa.float64())], names=SCORED_NAMES)
+            yield _scores(batch, sent.value, n, v)
 
     return run
 
@@ -282,8 +287,89 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 SCORED_NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their chunk, of about CHUNK_BYTES of text."""
+    from pyspark import TaskContext
+
+    chunk, used = TaskContext.get().partitionId() << 32, 0
+    for batch in text_batches(batches, CHUNK_BYTES):
+        size = int(raw_text(batch.column("text"))[1][-1]) + batch.num_rows
+        if used and used + size > CHUNK_BYTES:
+            chunk, used = chunk + 1, 0
+        used += size
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * batch.num_rows, pa.int64()), *[batch.column(c) for c in ("doc_id", "held_out", "text")]], names=["chunk", "doc_id", "held_out", "text"])
+
+
+ASKED = "chunk long, kind int, bucket int, keys binary"
+ANSWERED = "chunk long, kind int, bucket int, levels binary, counts binary"
+
+
+def _ask(buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """The different keys of a chunk, sorted, a row for each bucket."""
+        word, before, _ = tokens(*raw_text(table.column("text").combine_chunks()))
+        words = np.unique(word)
+        parts = [_cut(kind, keys, keys[:0], buckets) for kind, keys in ((WORD, words), (AFTER, np.unique(after_key(words))), (PAIR, np.unique(pair_key(before, word))))]
+        found = pa.Table.from_batches(parts).drop_columns("counts")
+        return found.add_column(0, "chunk", pa.array([key[0].as_py()] * len(found), pa.int64()))
+
+    return run
+
+
+def _answer(buckets: int):
+    def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        """Levels, and of words the exact counts, of what the chunks ask of a bucket."""
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        model = Filter(iter(held.to_pylist()), buckets)
+        each = [np.frombuffer(k, dtype="<u8") for k in asked.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(each), return_inverse=True) if each else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        levels = model.level(kind, keys).astype(np.uint8)[at]
+        counts = model.exact(keys)[at] if kind == WORD else None
+        ends = np.cumsum([len(k) for k in each], dtype=np.int64).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+        columns = [pa.array(asked.column("chunk").to_pylist(), pa.int64()), pa.array([kind] * len(each), pa.int32()), pa.array([bucket] * len(each), pa.int32())]
+        columns += [pa.array([levels[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([None if counts is None else _narrow(counts[a:b]) for a, b in spans], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["chunk", "kind", "bucket", "levels", "counts"])
+
+    return run
+
+
+class Answers:
+    """Levels and exact counts of the keys of one chunk, asked for like those of a Filter."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: (r["kind"], r["bucket"]))
+        self.levels = [np.frombuffer(b"".join(r["levels"] for r in rows if r["kind"] == kind), dtype=np.uint8) for kind in (WORD, PAIR, AFTER)]
+        self.counts = np.concatenate([np.frombuffer(r["counts"], dtype=f"<u{len(r['counts']) // len(r['levels'])}").astype(np.int64) for r in rows if r["kind"] == WORD])
+
+    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        own, at = np.unique(keys, return_inverse=True)
+        if len(own) != len(self.levels[kind]):
+            raise ValueError("a chunk has other keys than it asked for")
+        return self.levels[kind].astype(np.int64)[at]
+
+    def exact(self, keys: np.ndarray) -> np.ndarray:
+        return self.counts
+
+
+def _score_chunk(n: int, v: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = docs.combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([_scores(batch, Answers(answers.to_pylist()), n, v)])
+
+    return run
+
+
+def _routed(docs: DataFrame, held: DataFrame, n: int, v: int, buckets: int) -> DataFrame:
+    """Scores by the filter where it is too large to be broadcast; keys spread evenly over the buckets' segments."""
+    docs = kept(docs.mapInArrow(_chunks, "chunk long, doc_id long, held_out boolean, text string"), "chunks")
+    asked = docs.groupBy("chunk").applyInArrow(_ask(buckets), ASKED)
+    answers = asked.groupBy("kind", "bucket").cogroup(held.groupBy("kind", "bucket")).applyInArrow(_answer(buckets), ANSWERED)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(n, v), SCORED)
+
+
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the way by joins: the different pairs of each text."""
+    """For the scores without a filter: the different pairs of each text."""
     for batch in text_batches(batches, CHUNK_BYTES):
         word, before, first = tokens(*raw_text(batch.column("text")))
         for i, (doc_id, tid) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), strict=True)):
@@ -325,7 +411,9 @@ def _joined(docs: DataFrame, reduced: DataFrame, n: int, v: int) -> DataFrame:
 
 def scored(docs: DataFrame, held_out=None, broadcast_bytes: int = BROADCAST_BYTES, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """SCORED for every row of docs (doc_id, text), learnt from the rows that are not ``held_out`` (a Column; by default
-    crc32 of the id as text is 2 modulo 7 there, and a null id is not held out)."""
+    crc32 of the id as text is 2 modulo 7 there, and a null id is not held out).
+
+    ``broadcast_bytes``: bytes up to which the filter is broadcast; 0: no filter, exact counts."""
     spark = docs.sparkSession
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)) if held_out is None else held_out
     docs = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -338,8 +426,10 @@ def scored(docs: DataFrame, held_out=None, broadcast_bytes: int = BROADCAST_BYTE
     reduced = first.where("kind >= 0").unionByName(after)
     sums = {r["kind"]: r for r in reduced.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.sum("bits").alias("bits")).collect()}
     n, v = (sums[WORD]["total"], sums[WORD]["grams"]) if sums else (0, 0)
-    if sum(r["bits"] for r in sums.values()) / 8 + 12 * v > broadcast_bytes:
+    if not broadcast_bytes:
         return _joined(docs, reduced, n, v)
     rows = reduced.select("kind", "bucket", "segment", "bits", *[F.when(F.col("kind") == WORD, F.col(c)).alias(c) for c in ("keys", "counts")])
+    if sum(r["bits"] for r in sums.values()) / 8 + 12 * v > broadcast_bytes:
+        return _routed(docs, rows, n, v, buckets)
     model = Filter(rows.toLocalIterator(), buckets)
     return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), n, v), SCORED)

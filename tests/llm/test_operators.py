@@ -138,6 +138,14 @@ def test_scores(docs, empty, options):
     assert lm.scored(empty, **options).count() == 0
 
 
+def test_scores_do_not_change_with_the_size_of_the_filter(docs, empty):
+    near = sorted(map(tuple, lm.scored(docs, bucket_grams=1000).collect()), key=lambda x: (str(x[0]), x[2]))
+    far = sorted(map(tuple, lm.scored(docs, bucket_grams=1000, broadcast_bytes=1).collect()), key=lambda x: (str(x[0]), x[2]))
+    assert [x[:5] for x in far] == [x[:5] for x in near]
+    assert [x[5:] for x in far] == [pytest.approx(x[5:], rel=1e-12) for x in near]
+    assert lm.scored(empty, broadcast_bytes=1).count() == 0
+
+
 def test_nothing_to_learn_from(docs):
     assert {(x["n_known"], x["score"]) for x in lm.scored(docs, held_out=F.lit(True)).collect()} == {(0, 0.0)}
 
