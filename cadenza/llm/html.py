@@ -13,7 +13,8 @@ Scale: a narrow pass; weights are broadcast (their number depends on the fixed f
 
 Defined cases: null or empty html has an empty text; character references are decoded, white space (of any kind)
 inside a block becomes one space, ``br`` is white space; blocks are joined in page order by two newlines; broken markup is read as far as
-it goes (unknown end tags are skipped, an unclosed comment or script runs to the end); other columns are left behind or
+it goes (unknown end tags are skipped; an unclosed comment, script, style, title or text area runs to the end, any other
+element without its end tag hides nothing); formulas are text, but not their annotations; other columns are left behind or
 carried along, one named ``text`` or ``n_chars`` is replaced.
 """
 
@@ -56,8 +57,12 @@ KINDS = {
 }
 _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
 
+#: Elements whose content is no text of the page; those of RAW_TEXT hold text alone and run to the end of the page if they do not end.
+HIDDEN = "script style noscript template textarea title select svg annotation-xml annotation iframe object canvas video audio".split()
+RAW_TEXT, FOREIGN = {"script", "style", "title", "textarea"}, {"svg", "annotation", "annotation-xml"}
+_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in HIDDEN}
 _SCAN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|select|svg|math|iframe|object|canvas|video|audio|head(?=[\s>](?!.*<body)))\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")(?=[\s/>])(?:[^>=]++|=\s*\"[^\"]*+\"|=\s*'[^']*+'|=)*+>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -108,8 +113,21 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in limit:
                 return
 
+    endless: set[str] = set()  # names without an end tag from here on
+
+    def past(name, m):
+        """The end of a hidden element."""
+        if name in FOREIGN and m[0].endswith("/>"):
+            return m.end()
+        if name not in endless:
+            end = _END[name].search(page, m.end())
+            if end:
+                return end.end()
+            endless.add(name)
+        return len(page) if name in RAW_TEXT else m.end()
+
     at = 0
-    for m in _SCAN.finditer(page):
+    while m := _SCAN.search(page, at):
         if m.start() > at:
             t = page[at : m.start()]
             parts.append(entities.unescape(t) if "&" in t else t)
@@ -119,6 +137,7 @@ def blocks(page: str) -> list[Block]:
         tag = m["tag"] or m["tag2"]
         if tag is None:
             if m["raw"]:
+                at = past(m["raw"].lower(), m)
                 parts.append(" ")
             continue
         tag, end, rest = tag.lower(), m["end"] or m["end2"], m["rest"] or ""

@@ -329,6 +329,32 @@ def test_pages(spark, field):
     assert html.extracted(df.limit(0), field=field).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<svg class=i />b<math/>c</p>d", ["a bc", "d"]),
+        ("<p>a<svg title='x>y'/>b<svg><text>no</text></svg>c", ["a b c"]),
+        ("<p>a</p><video-player src=x></video-player><p>b<svg-icon>c</svg-icon><select-menu></select-menu><template-x>d", ["a", "bcd"]),
+        ("<html><head><meta charset=utf-8><title>no</title><style>no{}</style><p>a</p><p>b", ["a", "b"]),
+        ("<head><title>no</title></head><p>a</p>", ["a"]),
+        ("<p>Let <math><mi>x</mi><annotation>no</annotation></math> be real.", ["Let x be real."]),
+        ("<p>a<video src=x><p>b<noscript>c<iframe><canvas>d", ["a", "b c d"]),
+        ("<p>a<script src=x\">no('>')</script>b<style>no", ["a b"]),
+        ("<p>a<VIDEO>no</Video >b<textarea>no", ["a b"]),
+    ],
+)
+def test_hidden_elements_take_no_more_than_theirs(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert html.blocks("<svg><video>x" * 50_000)[0].text.startswith("x x")
+    assert time.perf_counter() - start < 20
+
+
 # ---- 7
 
 
