@@ -286,6 +286,28 @@ def test_mixed(docs, empty):
         mix.mixed(docs, max_sources=1)
 
 
+@pytest.mark.parametrize(("weights", "places"), [(None, 4), (None, 2), ({"h4": 2, "h6": 1, None: 1}, 3)])
+def test_sources_beyond_the_plan_share_a_pool(spark, weights, places):
+    rows = [(i, "big" if i % 2 else None if i % 10 == 0 else "pool" if i % 10 == 2 else f"h{i % 60}") for i in range(1200)]
+    df = spark.createDataFrame([*rows, rows[5]], "doc_id long, source string").repartition(3)
+    got = sorted(mix.mixed(df, weights, block_rows=2, max_sources=places).collect(), key=lambda x: x["mix_position"])
+    assert [x["mix_position"] for x in got] == list(range(1201)) and by_key(x[:2] for x in got) == by_key([*rows, rows[5]])
+    counts, given, names = mix.pooled(df, weights, "source", places)
+    assert names == {4: ["big", None, "pool"], 2: ["big"], 3: ["h4", None]}[places]
+    inside, seen = [x for x in got if x["mix_phase"] == 0], collections.Counter()
+    label = lambda x: mix.POOL if x not in names else None if x is None else mix.OWN + x
+    assert len(inside) > 10 and sum(counts.values()) == 1201
+    for k, x in enumerate(inside, 1):
+        seen[label(x["source"])] += 1
+        assert all(abs(seen[s] - k * given[s] / sum(given.values())) < 2 * 2 for s in counts)
+
+
+def test_more_sources_than_the_plan_holds(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), (F.col("id") % 1500).cast("string")).alias("source"))
+    got = mix.mixed(df)
+    assert got.count() == 4000 and got.agg(F.min("mix_position"), F.max("mix_position"), F.count_distinct("mix_position")).first() == (0, 3999, 4000)
+
+
 # ---- 6
 
 
