@@ -308,8 +308,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs without all rows but one of each group: that of the smallest id, and of rows with that id any one."""
     groups = kept(near_groups(docs, **options), "groups")
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "root")
-    n, ids = stay.agg(F.count(F.lit(1)), F.count_distinct("root")).first()
-    if n == ids and not stay.where("doc_id is null").limit(1).count():
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")  # of all rows, not only those that stay
+    if repeated.isEmpty() and stay.where("doc_id is null").isEmpty():
         return docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     # repeated or null ids: rows are told apart by their fingerprints as well
     marked = fingerprints(docs, docs.columns, options.get("words", WORDS), options.get("seed", SEED))

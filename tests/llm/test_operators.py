@@ -219,6 +219,13 @@ def test_near_groups(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
+def test_a_repeated_id_keeps_no_near_copy(spark):
+    text, other = sentence(60), sentence(60)
+    rows = [(3, text, "en", "s", 1), (5, text, "en", "s", 2), (5, other, "en", "s", 3)]
+    stay = simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert by_key(stay) == by_key([rows[0], rows[2]])
+
+
 @pytest.fixture(scope="module")
 def cloud():
     rng, out = random.Random(9), set()
