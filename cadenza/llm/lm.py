@@ -31,6 +31,7 @@ from cadenza.llm.common import CHUNK_BYTES, SPACED, Words, crc_mod, kept, mix, r
 
 RATIO, BITS, PROBES = 1.25, 8, 4
 RUN_TOKENS, BUCKET_GRAMS, BROADCAST_BYTES = 3 << 19, 1 << 20, 256 << 20
+ROUTED_BYTES = 4 * CHUNK_BYTES  # text that asks for its different keys at once; more asks for fewer keys in all
 WORD, PAIR, AFTER = 0, 1, 2
 END = np.uint64(0x5851F42D4C957F2D)
 U32, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -288,13 +289,13 @@ SCORED_NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their chunk, of about CHUNK_BYTES of text."""
+    """Rows with the number of their chunk, of about ROUTED_BYTES of text."""
     from pyspark import TaskContext
 
     chunk, used = TaskContext.get().partitionId() << 32, 0
     for batch in text_batches(batches, CHUNK_BYTES):
         size = int(raw_text(batch.column("text"))[1][-1]) + batch.num_rows
-        if used and used + size > CHUNK_BYTES:
+        if used and used + size > ROUTED_BYTES:
             chunk, used = chunk + 1, 0
         used += size
         yield pa.RecordBatch.from_arrays([pa.array([chunk] * batch.num_rows, pa.int64()), *[batch.column(c) for c in ("doc_id", "held_out", "text")]], names=["chunk", "doc_id", "held_out", "text"])
@@ -304,14 +305,24 @@ ASKED = "chunk long, kind int, bucket int, keys binary"
 ANSWERED = "chunk long, kind int, bucket int, levels binary, counts binary"
 
 
+def _planes(keys: bytes) -> bytes:
+    """All last bytes, all bytes before them, ...: the first bytes of sorted keys are alike and take little once compressed."""
+    return np.frombuffer(keys, dtype=np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(keys: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(keys, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _ask(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """The different keys of a chunk, sorted, a row for each bucket."""
         word, before, _ = tokens(*raw_text(table.column("text").combine_chunks()))
         words = np.unique(word)
         parts = [_cut(kind, keys, keys[:0], buckets) for kind, keys in ((WORD, words), (AFTER, np.unique(after_key(words))), (PAIR, np.unique(pair_key(before, word))))]
-        found = pa.Table.from_batches(parts).drop_columns("counts")
-        return found.add_column(0, "chunk", pa.array([key[0].as_py()] * len(found), pa.int64()))
+        found = pa.Table.from_batches(parts)
+        chunk, keys = pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array([_planes(k) for k in found.column("keys").to_pylist()], pa.binary())
+        return pa.Table.from_arrays([chunk, found.column("kind"), found.column("bucket"), keys], names=["chunk", "kind", "bucket", "keys"])
 
     return run
 
@@ -321,7 +332,7 @@ def _answer(buckets: int):
         """Levels, and of words the exact counts, of what the chunks ask of a bucket."""
         kind, bucket = key[0].as_py(), key[1].as_py()
         model = Filter(iter(held.to_pylist()), buckets)
-        each = [np.frombuffer(k, dtype="<u8") for k in asked.column("keys").to_pylist()]
+        each = [_from_planes(k) for k in asked.column("keys").to_pylist()]
         keys, at = np.unique(np.concatenate(each), return_inverse=True) if each else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         levels = model.level(kind, keys).astype(np.uint8)[at]
         counts = model.exact(keys)[at] if kind == WORD else None
