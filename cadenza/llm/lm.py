@@ -6,13 +6,15 @@ is missing tells the level back.  From the levels' mean values comes Witten and
 p(w | v) = (c(v w) + t(v) p(w)) / (c(v) + t(v)), t(v) being the number of different words after v, and p(w) alone after
 a word never seen.  A text is its words and one end token, which also stands before its first word.
 
+The filter is cut into segments by the first bits of an n-gram's hash (its bucket); 32 further bits of the hash, with the
+level, choose a block of 64 bits in the segment and ``PROBES`` bits of the block, so that a probe reads memory once.
+
 Scale: each task counts its own rows by sorting hashes in bounded runs and sends one packed array for each run and
-range of hashes ("bucket"); hashes spread every word's pairs over all buckets, so a frequent word makes no large one.
-Each bucket fills its own segment of the filter.  The number of buckets follows the bytes of text.  Filter and exact
-word counts are broadcast while they take at most ``broadcast_bytes``; beyond that each chunk of texts sends its
-different keys to the segment of their bucket, which is probed there, and gets the levels back: the same filter, the same
-levels and the same scores at every size.  With ``broadcast_bytes`` of 0 there is no filter at all: a caller who asks for
-that gets the scores without false positives, from exact counts by joins.
+bucket; hashes spread every word's pairs over all buckets, so a frequent word makes no large one.  The number of
+buckets follows the bytes of text without a bound.  Filter and exact word counts are broadcast while they take at most
+``broadcast_bytes``.  Beyond that the texts, in chunks of about ``ROUTED_BYTES``, are dealt out once; each chunk sends its
+different keys to the segment of their bucket, which is probed there, and gets the levels back: the same filter, the
+same levels and the same scores at every size.  A word that is in every chunk is asked for once a chunk.
 
 Defined cases: a null or empty text is the end token alone; repeated rows count and score as often as they come; with no
 training row every c, N and V is 0 and scores are 0; other columns are left behind.
@@ -21,6 +23,7 @@ training row every c, N and V is 0 and scores are 0; other columns are left behi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,14 +89,27 @@ def after_key(word: np.ndarray) -> np.ndarray:
     return mix(word >> U32)
 
 
-def _cut(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that has keys; keys are sorted."""
-    shift = np.uint64(64 - max(buckets.bit_length() - 1, 0))
-    at = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), dtype=np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-    bucket, first = at[first], first.tolist()
-    spans = list(zip(first, [*first[1:], len(keys)], strict=True)) if first else []
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(first), pa.int32()), pa.array(bucket, pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_narrow(counts[a:b]) for a, b in spans], pa.binary())], names=["kind", "bucket", "keys", "counts"])
+# ---- packed arrays
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys: the bytes of a step, the first key, and the steps in as few bytes each as the widest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
+    first, rest = np.frombuffer(data, dtype="<u8", count=1, offset=1), np.frombuffer(data, dtype=np.uint8, offset=9)
+    if not len(rest):
+        return first.copy()
+    steps = np.zeros((len(rest) // data[0], 8), dtype=np.uint8)
+    steps[:, : data[0]] = rest.reshape(-1, data[0])
+    return np.cumsum(np.concatenate((first, steps.view("<u8").ravel())), dtype=np.uint64)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -102,6 +118,40 @@ def _narrow(counts: np.ndarray) -> bytes:
     return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)}").tobytes()
 
 
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, dtype=f"<u{len(counts) // n if n else 8}").astype(np.int64)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The first bits of a hash; buckets is a power of two."""
+    return keys >> np.uint64(65 - buckets.bit_length()) if buckets > 1 else np.zeros(len(keys), dtype=np.uint64)
+
+
+def address(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Of pairs and continuations all that a probe needs: the bucket and, in the lower half, 32 bits of the hash."""
+    return (bucket_of(keys, buckets) << U32) | (keys & LOW)
+
+
+def _spans(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal buckets."""
+    if not len(bucket):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist()
+    return list(zip(first, [*first[1:], len(bucket)], strict=True))
+
+
+# ---- counts
+
+
+def _cut(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has keys; keys are sorted."""
+    bucket = bucket_of(keys, buckets)
+    spans = _spans(bucket)
+    columns = [pa.array([kind] * len(spans), pa.int32()), pa.array([int(bucket[a]) for a, _ in spans], pa.int64())]
+    columns += [pa.array([_packed(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_narrow(counts[a:b]) for a, b in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "keys", "counts"])
+
+
 def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different hashes and how often each comes; empties parts, so that a run is held once."""
     x = np.concatenate(parts)
@@ -111,13 +161,13 @@ def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(first, append=len(x))
 
 
-COUNTED = "kind int, bucket int, keys binary, counts binary"
+COUNTED = "kind int, bucket long, keys binary, counts binary"
 
 
 def _count(buckets: int, run_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, n = [], [], 0
-        for batch in text_batches(batches, CHUNK_BYTES):
+        for batch in text_batches(batches, CHUNK_BYTES // 2):
             word, before, _ = tokens(*raw_text(batch.column("text")))
             words.append(word)
             pairs.append(pair_key(before, word))
@@ -134,13 +184,8 @@ def _count(buckets: int, run_tokens: int):
     return run
 
 
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, dtype="<u8")
-    return k, np.frombuffer(counts, dtype=f"<u{len(counts) // len(k) if len(k) else 8}").astype(np.int64)
-
-
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    each = [_unpack(k, c) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    each = [(k := _unpacked(x), _wide(c, len(k))) for x, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     keys, counts = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -148,30 +193,47 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _places(keys: np.ndarray, j: int, m: np.ndarray | int) -> Iterator[np.ndarray]:
-    h = mix(keys + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15))
-    a, b = h >> U32, (h & LOW) | np.uint64(1)
-    m = np.uint64(m) if isinstance(m, int) else m
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % m
+# ---- filter
+
 
+def _probed(keys: np.ndarray, j: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, j) the block, of ``size`` blocks of the segment, and its bits in that block."""
+    h = mix((keys & LOW) | np.uint64(j << 32))
+    bits = np.uint64(1) << (h & np.uint64(63))
+    for i in range(1, PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return ((h >> U32) * size) >> U32, bits
 
-def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, int]:
-    """The filter of some n-grams: its bytes, its bits and its entries."""
+
+def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter of some n-grams."""
     level = level_of(counts)
-    entries = int(level.sum())
-    m = max(64, -(-entries * BITS // 64) * 64)
-    bits = np.zeros(m, dtype=bool)
+    blocks = max(1, -(-int(level.sum()) * BITS // 64))
+    data = np.zeros(blocks, dtype=np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        some = keys[level >= j]
-        for p in _places(some, j, m):
-            bits[p] = True
-    return np.packbits(bits, bitorder="little").tobytes(), m, entries
+        at, bits = _probed(keys[level >= j], j, np.uint64(blocks))
+        np.bitwise_or.at(data, at.astype(np.int64), bits)
+    return data.astype("<u8").tobytes()
+
 
+def levels(data: np.ndarray, keys: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Repeated probes: how many of (key, 1), (key, 2), ... are in a row there.  A key's segment has ``size`` blocks from
+    ``place`` on."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    at, j = np.flatnonzero(size), 0
+    keys, place, size = keys[at], place[at], size[at]
+    while len(at) and j < len(VALUES) - 1:
+        j += 1
+        block, bits = _probed(keys, j, size)
+        hit = (data[(place + block).astype(np.int64)] & bits) == bits
+        at, keys, place, size = at[hit], keys[hit], place[hit], size[hit]
+        out[at] = j
+    return out
 
-REDUCED = COUNTED + ", segment binary, bits long, entries long, grams long, total long"
-_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-_NAMES = ["kind", "bucket", "keys", "counts", "segment", "bits", "entries", "grams", "total"]
+
+REDUCED = COUNTED + ", segment binary, grams long, total long"
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = [x.split()[0] for x in REDUCED.split(", ")]
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -180,16 +242,17 @@ def _rows(rows: list[tuple]) -> pa.Table:
 
 def _reduce(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of words the segment and the exact counts; of pairs the segment and, as kind -1, the words that stand first."""
         kind, bucket = key[0].as_py(), key[1].as_py()
         keys, counts = _summed(table)
-        bits, m, entries = segment(keys, counts)
-        rows = [(kind, bucket, keys.astype("<u8").tobytes(), _narrow(counts), bits, m, entries, len(keys), int(counts.sum()))]
+        own = (_packed(keys), _narrow(counts)) if kind == WORD else (None, None)
+        rows = [(kind, bucket, *own, segment(keys, counts), len(keys), int(counts.sum()))]
         if kind == PAIR:
             word, n = np.unique(unmix(keys) >> U32, return_counts=True)
-            own = mix(word)
-            order = np.argsort(own)
-            part = _cut(AFTER, own[order], n[order], buckets)
-            rows += [(-1, b, k, c, None, None, None, None, None) for b, k, c in zip(*[part.column(x).to_pylist() for x in ("bucket", "keys", "counts")], strict=True)]
+            after = mix(word)
+            order = np.argsort(after)
+            part = _cut(AFTER, after[order], n[order], buckets)
+            rows += [(-1, b, k, c, None, None, None) for b, k, c in zip(*[part.column(x).to_pylist() for x in ("bucket", "keys", "counts")], strict=True)]
         return _rows(rows)
 
     return run
@@ -197,59 +260,45 @@ def _reduce(buckets: int):
 
 def _reduce_after(key: tuple, table: pa.Table) -> pa.Table:
     keys, counts = _summed(table)
-    bits, m, entries = segment(keys, counts)
-    return _rows([(AFTER, key[0].as_py(), keys.astype("<u8").tobytes(), _narrow(counts), bits, m, entries, len(keys), int(counts.sum()))])
+    return _rows([(AFTER, key[0].as_py(), None, None, segment(keys, counts), len(keys), int(counts.sum()))])
 
 
 class Filter:
-    """Segments by kind and bucket, and exact counts of words."""
+    """All segments, by kind and bucket, and the exact counts of words."""
 
     def __init__(self, rows: Iterator, buckets: int):
-        self.shift, self.data, self.place, self.bits = np.uint64(64 - max(buckets.bit_length() - 1, 0)), bytearray(), np.zeros((3, buckets), dtype=np.uint64), np.zeros((3, buckets), dtype=np.uint64)
-        words: dict[int, tuple[bytes, bytes]] = {}
+        self.buckets, self.place, self.size = buckets, np.zeros((3, buckets), dtype=np.uint64), np.zeros((3, buckets), dtype=np.uint64)
+        data, words = bytearray(), {}
         for r in rows:
-            self.place[r["kind"], r["bucket"]] = 8 * len(self.data)
-            self.bits[r["kind"], r["bucket"]] = r["bits"]
-            self.data += r["segment"]
+            self.place[r["kind"], r["bucket"]] = len(data) // 8
+            self.size[r["kind"], r["bucket"]] = len(r["segment"]) // 8
+            data += r["segment"]
             if r["kind"] == WORD:
-                words[r["bucket"]] = bytes(r["keys"]), bytes(r["counts"])
-        self.data = bytes(self.data)  # a pickled bytearray would be held twice on loading
-        self.words, self.buckets = words, buckets
+                keys = _unpacked(bytes(r["keys"]))
+                words[r["bucket"]] = keys, _wide(bytes(r["counts"]), len(keys))
+        each = [words[b] for b in sorted(words)]  # buckets in order are keys in order
+        empty = np.zeros(0, dtype=np.int64)
+        keys, counts = np.concatenate([empty.astype("<u8"), *[x[0] for x in each]]), np.concatenate([empty, *[x[1] for x in each]])
+        # bytes: a pickled array would be held twice on loading
+        self.data, self.words, self.counts, self.n_words = bytes(data), keys.tobytes(), _narrow(counts), len(keys)
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Repeated probes: how many of (key, 1), (key, 2), ... are in a row there."""
-        data = np.frombuffer(self.data, dtype=np.uint8)
-        out = np.zeros(len(keys), dtype=np.int64)
-        bucket = (keys >> self.shift).astype(np.int64) if self.buckets > 1 else np.zeros(len(keys), dtype=np.int64)
-        place, bits = self.place[kind][bucket], self.bits[kind][bucket]
-        at = np.flatnonzero(bits)
-        j = 0
-        while len(at):
-            j += 1
-            own = keys[at]
-            h = mix(own + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15))
-            a, b = h >> U32, (h & LOW) | np.uint64(1)
-            for i in range(PROBES):
-                p = place[at] + (a + np.uint64(i) * b) % bits[at]
-                hit = (data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-                at, a, b = at[hit], a[hit], b[hit]
-            out[at] = j
-        return np.minimum(out, len(VALUES) - 1)
+        bucket = bucket_of(keys, self.buckets).astype(np.int64)
+        return levels(np.frombuffer(self.data, dtype="<u8"), keys, self.place[kind][bucket], self.size[kind][bucket])
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted words."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        bucket = (keys >> self.shift).astype(np.int64) if self.buckets > 1 else np.zeros(len(keys), dtype=np.int64)
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else bucket
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True) if len(keys) else ():
-            have, counts = _unpack(*self.words.get(int(bucket[a]), (b"", b"")))
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                out[a:b] = np.where(have[at] == keys[a:b], counts[at], 0)
-        return out
-
-
-def _smoothed(pair, before, after, word, size):
+        if not self.n_words:
+            return np.zeros(len(keys), dtype=np.int64)
+        have, counts = np.frombuffer(self.words, dtype="<u8"), np.frombuffer(self.counts, dtype=f"<u{len(self.counts) // self.n_words}")
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return np.where(have[at] == keys, counts[at], 0).astype(np.int64)
+
+
+# ---- scores
+
+
+def smoothed(pair, before, after, word, size):
     """p(word | before) from counts; size: N + V + 1."""
     p = (word + 1) / size
     pair = np.minimum(pair, before)
@@ -259,18 +308,19 @@ def _smoothed(pair, before, after, word, size):
 def _scores(batch: pa.RecordBatch, model: Filter | Answers, n: int, v: int) -> pa.RecordBatch:
     size = n + v + 1
     word, before, first = tokens(*raw_text(batch.column("text")))
+    pairs, which = np.unique(pair_key(before, word), return_inverse=True)
+    del before
+    pair = VALUES[model.level(PAIR, pairs)][which]
+    del pairs, which
     keys, at = np.unique(word, return_inverse=True)
     exact = model.exact(keys)
     base = np.log10((exact + 1) / size)
     about = VALUES[model.level(WORD, keys)]
     after = VALUES[model.level(AFTER, after_key(keys))]
-    end = int(np.searchsorted(keys, END))
     prev = np.empty_like(at)
     prev[1:] = at[:-1]
-    prev[first[:-1]] = end
-    pairs, which = np.unique(pair_key(before, word), return_inverse=True)
-    pair = VALUES[model.level(PAIR, pairs)][which]
-    p = np.log10(_smoothed(pair, about[prev], after[prev], about[at], size))
+    prev[first[:-1]] = int(np.searchsorted(keys, END))
+    p = np.log10(smoothed(pair, about[prev], after[prev], about[at], size))
     add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first), pa.int64()), pa.array(add((exact > 0).astype(np.int64)[at]), pa.int64()), pa.array(np.full(len(first) - 1, n), pa.int64()), pa.array(add(base[at]), pa.float64()), pa.array(add(p) if n else np.zeros(len(first) - 1), pa.float64())], names=SCORED_NAMES)
 
@@ -288,6 +338,9 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 SCORED_NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
+# ---- scores where the filter is too large to be broadcast
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the number of their chunk, of about ROUTED_BYTES of text."""
     from pyspark import TaskContext
@@ -301,146 +354,124 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk] * batch.num_rows, pa.int64()), *[batch.column(c) for c in ("doc_id", "held_out", "text")]], names=["chunk", "doc_id", "held_out", "text"])
 
 
-ASKED = "chunk long, kind int, bucket int, keys binary"
-ANSWERED = "chunk long, kind int, bucket int, levels binary, counts binary"
+ASKED = "chunk long, kind int, bucket long, keys binary"
+ANSWERED = "chunk long, kind int, bucket long, levels binary, counts binary"
 
 
-def _planes(keys: bytes) -> bytes:
-    """All last bytes, all bytes before them, ...: the first bytes of sorted keys are alike and take little once compressed."""
-    return np.frombuffer(keys, dtype=np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes(keys: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(keys, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _asked(kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is asked for, ascending, and its buckets: words by their whole hash, for their exact counts, others by address."""
+    own = np.unique(keys if kind == WORD else address(keys, buckets))
+    return own, (bucket_of(own, buckets) if kind == WORD else own >> U32)
 
 
 def _ask(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """The different keys of a chunk, sorted, a row for each bucket."""
+        """The different keys of a chunk, a row for each bucket."""
         word, before, _ = tokens(*raw_text(table.column("text").combine_chunks()))
+        rows = []
         words = np.unique(word)
-        parts = [_cut(kind, keys, keys[:0], buckets) for kind, keys in ((WORD, words), (AFTER, np.unique(after_key(words))), (PAIR, np.unique(pair_key(before, word))))]
-        found = pa.Table.from_batches(parts)
-        chunk, keys = pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array([_planes(k) for k in found.column("keys").to_pylist()], pa.binary())
-        return pa.Table.from_arrays([chunk, found.column("kind"), found.column("bucket"), keys], names=["chunk", "kind", "bucket", "keys"])
+        for kind, keys in ((WORD, words), (PAIR, pair_key(before, word)), (AFTER, after_key(words))):
+            own, bucket = _asked(kind, keys, buckets)
+            rows += [(key[0].as_py(), kind, int(bucket[a]), _packed(own[a:b])) for a, b in _spans(bucket)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "kind", "bucket", "keys"])
 
     return run
 
 
-def _answer(buckets: int):
-    def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        """Levels, and of words the exact counts, of what the chunks ask of a bucket."""
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        model = Filter(iter(held.to_pylist()), buckets)
-        each = [_from_planes(k) for k in asked.column("keys").to_pylist()]
-        keys, at = np.unique(np.concatenate(each), return_inverse=True) if each else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        levels = model.level(kind, keys).astype(np.uint8)[at]
-        counts = model.exact(keys)[at] if kind == WORD else None
-        ends = np.cumsum([len(k) for k in each], dtype=np.int64).tolist()
-        spans = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
-        columns = [pa.array(asked.column("chunk").to_pylist(), pa.int64()), pa.array([kind] * len(each), pa.int32()), pa.array([bucket] * len(each), pa.int32())]
-        columns += [pa.array([levels[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([None if counts is None else _narrow(counts[a:b]) for a, b in spans], pa.binary())]
-        return pa.Table.from_arrays(columns, names=["chunk", "kind", "bucket", "levels", "counts"])
-
-    return run
+def _answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Levels, and of words the exact counts, of what the chunks ask of a bucket."""
+    kind, bucket, model = key[0].as_py(), key[1].as_py(), held.to_pylist()
+    data = np.frombuffer(model[0]["segment"], dtype="<u8") if model else np.zeros(0, dtype=np.uint64)
+    have = _unpacked(model[0]["keys"]) if model and kind == WORD else np.zeros(0, dtype=np.uint64)
+    exact = _wide(model[0]["counts"], len(have)) if len(have) else None
+    found, counted = [], []
+    for x in asked.column("keys"):
+        keys = _unpacked(x.as_py())
+        found.append(levels(data, keys, np.zeros(len(keys), dtype=np.uint64), np.full(len(keys), len(data), dtype=np.uint64)).astype(np.uint8).tobytes())
+        if kind == WORD and exact is not None:
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            counted.append(_narrow(np.where(have[at] == keys, exact[at], 0)))
+        else:
+            counted.append(_narrow(np.zeros(len(keys), dtype=np.int64)) if kind == WORD else None)
+    columns = [pa.array(asked.column("chunk").to_pylist(), pa.int64()), pa.array([kind] * len(found), pa.int32()), pa.array([bucket] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array(counted, pa.binary())]
+    return pa.Table.from_arrays(columns, names=["chunk", "kind", "bucket", "levels", "counts"])
 
 
 class Answers:
     """Levels and exact counts of the keys of one chunk, asked for like those of a Filter."""
 
-    def __init__(self, rows: list[dict]):
-        rows = sorted(rows, key=lambda r: (r["kind"], r["bucket"]))
+    def __init__(self, rows: list[dict], buckets: int):
+        rows, self.buckets = sorted(rows, key=lambda r: (r["kind"], r["bucket"])), buckets
         self.levels = [np.frombuffer(b"".join(r["levels"] for r in rows if r["kind"] == kind), dtype=np.uint8) for kind in (WORD, PAIR, AFTER)]
-        self.counts = np.concatenate([np.frombuffer(r["counts"], dtype=f"<u{len(r['counts']) // len(r['levels'])}").astype(np.int64) for r in rows if r["kind"] == WORD])
+        self.counts = np.concatenate([_wide(r["counts"], len(r["levels"])) for r in rows if r["kind"] == WORD])
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        own, at = np.unique(keys, return_inverse=True)
+        own, _ = _asked(kind, keys, self.buckets)
         if len(own) != len(self.levels[kind]):
             raise ValueError("a chunk has other keys than it asked for")
-        return self.levels[kind].astype(np.int64)[at]
+        return self.levels[kind].astype(np.int64)[np.searchsorted(own, keys if kind == WORD else address(keys, self.buckets))]
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         return self.counts
 
 
-def _score_chunk(n: int, v: int):
+def _score_chunk(n: int, v: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         batch = docs.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches([_scores(batch, Answers(answers.to_pylist()), n, v)])
+        return pa.Table.from_batches([_scores(batch, Answers(answers.to_pylist(), buckets), n, v)])
 
     return run
 
 
 def _routed(docs: DataFrame, held: DataFrame, n: int, v: int, buckets: int) -> DataFrame:
-    """Scores by the filter where it is too large to be broadcast; keys spread evenly over the buckets' segments."""
-    docs = kept(docs.mapInArrow(_chunks, "chunk long, doc_id long, held_out boolean, text string"), "chunks")
+    """Keys spread evenly over the buckets' segments.  Both uses of the chunks are one exchange (Spark finds it again), and a
+    chunk that came out otherwise at the second would be refused by Answers."""
+    docs = docs.mapInArrow(_chunks, "chunk long, doc_id long, held_out boolean, text string")
     asked = docs.groupBy("chunk").applyInArrow(_ask(buckets), ASKED)
-    answers = asked.groupBy("kind", "bucket").cogroup(held.groupBy("kind", "bucket")).applyInArrow(_answer(buckets), ANSWERED)
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(n, v), SCORED)
+    answers = asked.groupBy("kind", "bucket").cogroup(held.groupBy("kind", "bucket")).applyInArrow(_answer, ANSWERED)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(n, v, buckets), SCORED)
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the scores without a filter: the different pairs of each text."""
-    for batch in text_batches(batches, CHUNK_BYTES):
-        word, before, first = tokens(*raw_text(batch.column("text")))
-        for i, (doc_id, tid) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), strict=True)):
-            w, b = word[first[i] : first[i + 1]], before[first[i] : first[i + 1]]
-            pair, at, times = np.unique(pair_key(b, w), return_index=True, return_counts=True)
-            k = len(pair)
-            signed = lambda x: pa.array(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * k, pa.int64()), pa.array([tid] * k, pa.int64()), signed(pair), signed(b[at]), signed(after_key(b[at])), signed(w[at]), pa.array(times, pa.int64())], names=["doc_id", "tid", "pair", "before", "after", "word", "times"])
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            keys, counts = _unpack(k, c)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64()), pa.array(VALUES[level_of(counts)])], names=["key", "exact", "about"])
-
-
-def _joined(docs: DataFrame, reduced: DataFrame, n: int, v: int) -> DataFrame:
-    docs = docs.withColumn("tid", F.xxhash64("text", F.length("text")))
-    grams = docs.select("doc_id", "tid", "text").distinct().mapInArrow(_pairs_of, "doc_id long, tid long, pair long, before long, after long, word long, times long")
-    table = lambda kind: reduced.where(F.col("kind") == kind).select("keys", "counts").mapInArrow(_spread, "key long, exact long, about double")
-    words = table(WORD)
-    for name, t in (("pair", table(PAIR)), ("before", words), ("after", table(AFTER)), ("word", words)):
-        t = t.select(F.col("key").alias(name), F.col("exact").alias(f"{name}_exact"), F.col("about").alias(f"{name}_about"))
-        grams = grams.join(t, name, "left").fillna(0, [f"{name}_exact"]).fillna(0.0, [f"{name}_about"])
-    size = float(n + v + 1)
-    p = (F.col("word_about") + 1) / size
-    pair = F.least("pair_about", "before_about")
-    p = F.when((F.col("before_about") > 0) & (F.col("after_about") > 0), (pair + F.col("after_about") * p) / F.greatest(F.col("before_about") + F.col("after_about"), F.lit(1.0))).otherwise(p)
-    sums = grams.groupBy(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(F.col("word_exact") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((F.col("word_exact") + 1) / size)).alias("base_score"),
-        F.sum(F.col("times") * F.log10(p)).alias("score"),
-    )
-    found = docs.select("doc_id", "tid", "held_out").join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")))
-    return found.withColumns({"train_tokens": F.lit(n).cast("long"), "score": F.col("score") if n else F.lit(0.0)}).select(*SCORED_NAMES)
+# ---- the operator
 
 
-def scored(docs: DataFrame, held_out=None, broadcast_bytes: int = BROADCAST_BYTES, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
-    """SCORED for every row of docs (doc_id, text), learnt from the rows that are not ``held_out`` (a Column; by default
-    crc32 of the id as text is 2 modulo 7 there, and a null id is not held out).
+@dataclass
+class Fit:
+    """held: a row for each kind and bucket, with its segment and, of words, keys and exact counts; n: training tokens, v: the
+    different ones; size: bytes of the filter and of the exact counts."""
 
-    ``broadcast_bytes``: bytes up to which the filter is broadcast; 0: no filter, exact counts."""
-    spark = docs.sparkSession
-    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)) if held_out is None else held_out
-    docs = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    train = docs.where("not held_out").select("text")
+    held: DataFrame
+    n: int
+    v: int
+    buckets: int
+    size: int
+
+    def filter(self) -> Filter:
+        return Filter(self.held.toLocalIterator(), self.buckets)
+
+
+def fitted(train: DataFrame, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> Fit:
+    """Of the column text, without nulls."""
+    train = train.select("text")
     size = train.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
-    buckets = 1 << min(15, max(0, (size // 6 // bucket_grams).bit_length()))
+    buckets = 1 << (size // 6 // bucket_grams).bit_length()
     counted = train.mapInArrow(_count(buckets, run_tokens), COUNTED)
     first = kept(counted.groupBy("kind", "bucket").applyInArrow(_reduce(buckets), REDUCED), "grams")
     after = kept(first.where("kind = -1").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_reduce_after, REDUCED), "after")
-    reduced = first.where("kind >= 0").unionByName(after)
-    sums = {r["kind"]: r for r in reduced.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.sum("bits").alias("bits")).collect()}
+    held = first.where("kind >= 0").unionByName(after)
+    sums = {r["kind"]: r for r in held.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.sum(F.octet_length("segment")).alias("bytes")).collect()}
     n, v = (sums[WORD]["total"], sums[WORD]["grams"]) if sums else (0, 0)
-    if not broadcast_bytes:
-        return _joined(docs, reduced, n, v)
-    rows = reduced.select("kind", "bucket", "segment", "bits", *[F.when(F.col("kind") == WORD, F.col(c)).alias(c) for c in ("keys", "counts")])
-    if sum(r["bits"] for r in sums.values()) / 8 + 12 * v > broadcast_bytes:
-        return _routed(docs, rows, n, v, buckets)
-    model = Filter(rows.toLocalIterator(), buckets)
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), n, v), SCORED)
+    return Fit(held.select("kind", "bucket", "segment", "keys", "counts"), n, v, buckets, sum(r["bytes"] for r in sums.values()) + 12 * v)
+
+
+def scored(docs: DataFrame, held_out=None, broadcast_bytes: int = BROADCAST_BYTES, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+    """SCORED for every row of docs (doc_id, text), learnt from the rows that are not ``held_out`` (a Column; by default
+    crc32 of the id as text is 2 modulo 7 there, and a null id is not held out).
+
+    ``broadcast_bytes``: bytes up to which the filter is broadcast; the scores are the same on either side."""
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)) if held_out is None else held_out
+    docs = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    fit = fitted(docs.where("not held_out"), run_tokens, bucket_grams)
+    if fit.size > broadcast_bytes:
+        return _routed(docs, fit.held, fit.n, fit.v, fit.buckets)
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(fit.filter()), fit.n, fit.v), SCORED)
