@@ -3,6 +3,7 @@ ranking rows without a hot task, and a place for files that every executor sees.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -138,7 +139,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 * CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = 2 * CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``size`` bytes of text, so that memory follows bytes and not rows."""
     for batch in batches:
         if not batch.num_rows:
@@ -162,8 +163,11 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; one of this machine's own only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:  # tests and single machines only
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -179,7 +183,7 @@ def kept(df: DataFrame, what: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], at: Column, rank: str, rows: int, total: str | None = None, per_bucket: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column | str], at: Column, rank: str, rows: int, total: str | None = None, per_bucket: int = 4096) -> DataFrame:
     """``rank``: 0-based place of each row among those of its group by ``order``, with no group in one task.
 
     ``at`` is a number in [0, 1) that grows with the first column of ``order``; it cuts each group into buckets.  Rows
@@ -208,13 +212,34 @@ def ranked(df: DataFrame, group: list[str], order: list[str], at: Column, rank:
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
-    """31 bits that deal rows into a seeded random order."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 33)
+    """31 bits that deal rows into a seeded random order: of the MD5 of the seed and the columns as text, parted by |.
+
+    With all columns of a row in it, rows that share an id lie apart, and only rows that are equal throughout meet."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), 1, 8)
+    return F.shiftright(F.conv(digits, 16, 10).cast("long"), 1)
 
 
 SHUFFLE_RANGE = float(1 << 31)
 
 
+def told_apart(df: DataFrame, *but: str) -> list[str]:
+    """The other columns that can be compared, by name: they tell rows of one id apart."""
+    return sorted(f.name for f in df.schema.fields if f.name not in but and f.dataType.typeName() not in ("map", "variant"))
+
+
+def by_share(df: DataFrame, table: DataFrame, key: str, rows: str, total: int, share: int = 4096) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``table``; its column ``rows`` says how many of df's ``total`` rows have it.
+
+    Keys with more than one of ``share`` rows (at most ``share`` keys can have that) are broadcast and leave their rows
+    where they are; only the others are dealt out, so no task gets more than its share for a key."""
+    frequent = F.col(rows) * share > total
+    heavy, light = table.where(frequent).drop(rows), table.where(~frequent).drop(rows)
+    at_home = df.join(F.broadcast(heavy), key)
+    dealt = df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return at_home.unionByName(dealt)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a context, so that a job does not depend on how they were started."""
     import tempfile
