@@ -16,11 +16,14 @@ bucket of many (near copies in thousands) a search from fingerprint to unvisited
 found, never all pairs.  A bucket of more than ``bucket`` distinct fingerprints goes another exact way: two
 fingerprints differ in at most 4 bits if and only if some value lies within 2 bits of both, so each sends itself to all
 values within 2 bits (within ceil(limit / 2) and floor(limit / 2) in general), and all that meet link to the smallest,
-each meeting checked in full where limit is odd.
+each meeting checked in full where limit is odd.  Buckets that would also take more than one of ``SHARE`` fingerprints are
+found by counts beforehand and never dealt out.  A fingerprint, or a group, that has more than its share of the rows is
+joined where its rows are (``by_share``).
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer than four words are one shingle;
-repeated rows are in one group; a null id never is the smallest id, and a group of null ids has a null component; an
-empty table gives no rows.
+repeated rows are in one group; a null id never is the smallest id, and a group of null ids has a null component; of
+rows that share the smallest id ``deduplicated`` keeps that of the least hash over its columns, the same at every run; an
+empty table gives no rows; a column named like an output is no input.
 """
 
 from __future__ import annotations
@@ -35,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cadenza.llm.common import CHUNK_BYTES, LOWER_BYTES, kept, raw_text, text_batches
+from cadenza.llm.common import CHUNK_BYTES, LOWER_BYTES, by_share, kept, raw_text, text_batches, told_apart
 from cadenza.llm.components import components
 
 WORDS, SEED, LIMIT, BUCKET = 4, 42, 4, 1 << 16
-#: Groups of more than one fingerprint, 16 bytes each, that are broadcast at most.
-BROADCAST_GROUPS = 200_000
+#: A bucket with more than one of so many fingerprints is not dealt out, so at most so many of a part are looked up.
+SHARE = 512
 #: Relative costs of a row sent and of two fingerprints compared.
 ROW_COST, PAIR_COST = 1.0, 0.01
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -83,8 +86,9 @@ def _fingerprint(keep: list[str], words: int, seed: int):
 
 def fingerprints(docs: DataFrame, columns: list[str], words: int = WORDS, seed: int = SEED) -> DataFrame:
     """columns of docs and fp long, the 64 bits of the fingerprint."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_fingerprint(columns, words, seed), f"{kinds}, fp long")
+    keep = [f for f in docs.schema.fields if f.name in columns and f.name != "fp"]
+    names, kinds = [f.name for f in keep], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_fingerprint(names, words, seed), f"{kinds}, fp long")
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +109,7 @@ class Plan:
     """parts: for each part with a threshold of 0 or more its bits and that threshold."""
 
     def __init__(self, n: int, both: np.ndarray, limit: int = LIMIT):
+        self.n = n
         p = both / max(n, 1)
         one = np.diag(p).copy()
         var = np.sqrt(np.maximum(one * (1 - one), 1e-12))
@@ -256,6 +261,16 @@ def plan_for(fps: DataFrame, limit: int = LIMIT) -> Plan:
     return Plan(n, both, limit)
 
 
+def _crowded(fps: DataFrame, plan: Plan, bucket: int) -> DataFrame | None:
+    """part, key of the buckets that get more than ``bucket`` fingerprints and one of SHARE: those round a value that so many
+    have themselves.  At most SHARE values a part are collected."""
+    masks = [F.lit(_signed(sum(1 << b for b in bits))).cast("long") for bits, _ in plan.parts]
+    own = fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(m) for m in masks])).alias("part", "key"))
+    counts = own.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > bucket) & (F.col("n") * SHARE > plan.n))
+    found = [(r["part"], _signed((r["key"] ^ x) & ((1 << 64) - 1))) for r in counts.collect() for x in _flips(*plan.parts[r["part"]])]
+    return fps.sparkSession.createDataFrame(sorted(set(found)), "part int, key long") if found else None
+
+
 def linked(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET, plan: Plan | None = None) -> DataFrame:
     """u, v: links among distinct fingerprints ``fp`` that connect all that are within ``limit`` bits."""
     plan = plan or plan_for(fps, limit)
@@ -268,11 +283,15 @@ def linked(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET, plan: Plan
     sent = probes[0]
     for p in probes[1:]:
         sent = sent.union(p)
+    crowded, hot = _crowded(fps, plan, bucket), None
+    if crowded is not None:
+        hot = sent.join(F.broadcast(crowded), ["part", "key"], "left_semi").select("fp")
+        sent = sent.join(F.broadcast(crowded), ["part", "key"], "left_anti")
     dealt = sent.repartition("part", "key").sortWithinPartitions("part", "key")
     met = kept(dealt.mapInArrow(_links(limit, bucket), "u long, v long, hot boolean"), "met")
-    links = met.where("not hot").select("u", "v")
-    if not met.where("hot").limit(1).isEmpty():
-        links = links.union(_by_midpoint(met.where("hot").select(F.col("u").alias("fp")).distinct(), limit))
+    links, late = met.where("not hot").select("u", "v"), met.where("hot").select(F.col("u").alias("fp"))
+    if hot is not None or not late.limit(1).isEmpty():
+        links = links.union(_by_midpoint((late if hot is None else late.union(hot)).distinct(), limit))
     return links
 
 
@@ -290,29 +309,34 @@ def _by_midpoint(fps: DataFrame, limit: int) -> DataFrame:
     return even.union(odd).distinct()
 
 
-def near_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of the group, as a signed number), component_id: a row for each row."""
-    docs = kept(fingerprints(docs, ["doc_id"], words, seed), "fingerprints")
-    fps = kept(docs.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
+def near_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS, seed: int = SEED, bucket: int = BUCKET, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns ``carry`` of docs, fp, root (the smallest fingerprint of the group, as a signed number) and
+    component_id: a row for each row."""
+    own = ["doc_id", *(carry or [])]
+    docs = kept(fingerprints(docs, own, words, seed), "fingerprints")
+    fps = kept(docs.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")), "distinct")
     found = components(linked(fps.select("fp"), limit, bucket))
     roots = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
-    known = kept(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("more")), "classes")
-    least = kept(known.where("more").groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("least")), "least")
-    if least.count() <= BROADCAST_GROUPS:  # then a group of very many rows is not dealt out by its root
-        least = F.broadcast(least)
-    known = known.join(least, F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), "root", F.when(F.col("more"), F.col("least")).otherwise(F.col("doc")).alias("component_id"))
-    return docs.join(known, F.col("fp") == F.col("f")).select("doc_id", "fp", "root", "component_id")
+    known = kept(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", "n", "root"), "classes")
+    linked_ones = known.where("root is not null")
+    least = kept(linked_ones.groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("m")), "least")
+    rows, members = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    classes = by_share(linked_ones.select("fp", "n", "root"), least, "root", "m", members).select("fp", "n", "root", "component_id")
+    classes = kept(classes.union(known.where("root is null").select("fp", "n", F.col("fp").alias("root"), F.col("doc").alias("component_id"))), "known")
+    return by_share(docs, classes, "fp", "n", rows).select(*own, "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without all rows but one of each group: that of the smallest id, and of rows with that id any one."""
-    groups = kept(near_groups(docs, **options), "groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "root")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")  # of all rows, not only those that stay
-    if repeated.isEmpty() and stay.where("doc_id is null").isEmpty():
-        return docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    # repeated or null ids: rows are told apart by their fingerprints as well
-    marked = fingerprints(docs, docs.columns, options.get("words", WORDS), options.get("seed", SEED))
-    stay = stay.distinct().select(F.col("doc_id").alias("_d"), "root").join(groups.select("fp", F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r")).select("_d", F.col("fp").alias("_f"), "root")
-    rows = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")))
-    return rows.dropDuplicates(["root"]).select(*docs.columns)
+    """docs without all rows but one of each group: that of the smallest id (null last), and of rows with that id the one
+    with the least hash over all columns; of rows that are equal in every column one stays."""
+    mark = "_row"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in told_apart(docs)]))
+    groups = kept(near_groups(marked, carry=[mark], **options), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col(mark).alias("r"))).alias("x"))
+    first = first.select(F.col("x.d").alias("_d"), F.col("x.r").alias("_r"))
+    stay = marked.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col(mark) == F.col("_r")), "left_semi")
+    if not groups.groupBy("doc_id", mark).count().where("count > 1").isEmpty():  # rows that are equal throughout
+        stay = stay.dropDuplicates(["doc_id", mark])
+    return stay.drop(mark)
