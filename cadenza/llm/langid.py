@@ -4,11 +4,14 @@ A text's features are the shares of its byte trigrams (ASCII letters lower-cased
 ``FEATURES`` places.  A first set of linear support vector machines, one against the rest, tells the family; inside it
 linear support vector machines, one for each pair of its languages, vote.  Scores are logistic functions of the margins.
 
-Training takes a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, dealt equally over languages, chosen by a hash
-of the id) on the driver; predictions read every text whole, in a narrow pass with the weights broadcast (their size
-depends on the number of languages only, at most ``MAX_LANGUAGES``).
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row all texts are
+Training takes a bounded sample of labelled rows on the driver: about ``SAMPLE_ROWS`` in all, dealt equally over languages
+and chosen by a hash of the id, but ``LEAST_ROWS`` of each language, so about MAX_LANGUAGES * LEAST_ROWS = 8000 at most.  Of
+more than ``MAX_LANGUAGES`` labels those with the most rows are in the sample, equals by name; the others are not learned.
+Predictions read every text whole, in a narrow pass with the weights broadcast (their size depends on the number of
+languages learned only).
+
+Defined cases: a null text or one without a letter (Unicode category L: numerals such as a superscript two or a Roman
+eight are none) is ``und`` with score 0; without any labelled row all texts are
 ``und`` with score 0; with one language every text with letters gets it, score 1; a label outside the table of families
 is a family of its own; equal votes go to the larger sum of margins, then to the first in order; other columns may be
 carried along, one named like an output is replaced.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import CHUNK_BYTES, crc_mod, raw_text, text_batches
 
-FEATURES, SAMPLE_ROWS, MAX_LANGUAGES, STEPS = 4096, 2000, 400, 120
+FEATURES, SAMPLE_ROWS, LEAST_ROWS, MAX_LANGUAGES, STEPS = 4096, 2000, 20, 400, 120
 UND = "und"
 
 #: Language families by ISO 639-1 code (fixed values).
@@ -51,7 +54,7 @@ _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _ASCII_LETTER = re.compile(r"[^\W\d_]"), re.compile(rb"[A-Za-z]")
 
 
 def family_of(lang: str) -> str:
@@ -72,7 +75,8 @@ def trigrams(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(re.search(rb"[A-Za-z]", text)) or bool(_LETTER.search(text.decode("utf-8", "replace")))
+    """_LETTER also finds numerals that are no decimal digits; isalpha() is category L."""
+    return bool(_ASCII_LETTER.search(text)) or any(m[0].isalpha() for m in _LETTER.finditer(text.decode("utf-8", "replace")))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = STEPS, c: float = 30.0) -> tuple[np.ndarray, float]:
@@ -178,15 +182,15 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), *[pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]], names=["lang", "at", "n"])
 
 
-def trained(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id") -> Model | None:
-    """From rows (key, text, lang): about sample_rows / languages rows of each language, all if it has no more."""
+def trained(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """From rows (key, text, lang): about sample_rows / languages rows of each language (LEAST_ROWS at least), all if it has no
+    more; of the ``max_languages`` languages with the most rows."""
     labelled = labelled.where("lang is not null and text is not null").select(F.col(key).alias("_k"), "text", F.col("lang").cast("string"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    by_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
-    each = max(20, sample_rows // len(counts))
+    each = max(LEAST_ROWS, sample_rows // len(counts))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
