@@ -15,7 +15,7 @@ enter the manifest (one row a file, written as Parquet), so a retried or doubled
 one task a file, streamed record by record.
 
 Defined cases: a null or empty text is the end id alone; a null id comes first and is flagged; equal ids are ordered by
-text; an empty table writes nothing; other columns are left behind.
+XXH64 of the text, then by text; an empty table writes nothing; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -135,9 +135,16 @@ class Encoder:
 def _writer(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
-        import os
 
         gc.disable()  # millions of small objects and no cycles among them
+        try:
+            yield from write(batches)
+        finally:
+            gc.enable()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyarrow import fs
         from pyspark import TaskContext
@@ -147,7 +154,7 @@ def _writer(folder: str, path: str, end_id: int):
         part = TaskContext.get().partitionId()
         end, wide = np.array([end_id], dtype=encoder.kind).tobytes(), encoder.kind.itemsize == 4
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        for batch in text_batches(batches, 4 * CHUNK_BYTES):
+        for batch in text_batches(batches, 2 * CHUNK_BYTES):
             if store is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
@@ -165,7 +172,6 @@ def _writer(folder: str, path: str, end_id: int):
                 records += 1
                 ids += len(x) // encoder.kind.itemsize + 1
             index.write(b"".join(lines))
-        gc.enable()
         if store is not None:
             out.close()
             index.close()
@@ -175,12 +181,13 @@ def _writer(folder: str, path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, order: list[str] | None = None) -> DataFrame:
-    """Write docs (doc_id long, text) in ascending order of ``order`` (default: doc_id, then text) and return the
-    manifest: MANIFEST, a row for each data file, parts in order."""
+    """Write docs (doc_id long, text) in ascending order of ``order`` (default: doc_id), then of XXH64 of the text and of the
+    text, and return the manifest: MANIFEST, a row for each data file, parts in order."""
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     order = order or ["doc_id"]
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[c for c in order if c not in ("doc_id", "text")])
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order, *([] if "text" in order else ["text"]))
+    docs = docs.withColumn("_hash", F.xxhash64("text"))  # so that rows of one id need not be one range
+    ranged = docs.repartitionByRange(*order, "_hash").sortWithinPartitions(*dict.fromkeys([*order, "_hash", "text"])).drop("_hash")
     return kept(ranged.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), "manifest")
 
 
