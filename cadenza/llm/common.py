@@ -27,6 +27,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 #: Text handled at once by numpy; only a single word longer than this makes a chunk larger.
 CHUNK_BYTES = 2 << 20
+ARROW_BYTES = 2 * CHUNK_BYTES
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -241,12 +242,14 @@ def by_share(df: DataFrame, table: DataFrame, key: str, rows: str, total: int, s
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a context, so that a job does not depend on how they were started."""
+    """Give the executors this package, once a context, so that a job does not depend on how they were started; and let
+    Arrow batches hold at most ARROW_BYTES, for rows are long texts and a batch stands in the JVM and in the worker."""
     import tempfile
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_cadenza_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
