@@ -1,7 +1,8 @@
 """Operator 6, main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is read once into leaf blocks: runs of text between the tags of block elements, each with its open ancestors.
-Scripts, styles, markup, comments of the markup, titles, selections and the like are no text.  A block's features are its
+Scripts, styles, markup, comments of the markup, titles, selections and drawings are no text; what stands inside noscript,
+object, canvas, video or audio is text like any other.  A block's features are its
 ancestors' tags and kinds (from words in class, id and role), its own tag, and its text: length, share of linked text,
 closing punctuation, signs.  The field has two labels, main text and the rest; weights of features and of label pairs
 are fitted by gradient steps on the log-likelihood (forward-backward) of labelled pages, and Viterbi decodes.
@@ -58,7 +59,7 @@ KINDS = {
 _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
 
 #: Elements whose content is no text of the page; those of RAW_TEXT hold text alone and run to the end of the page if they do not end.
-HIDDEN = "script style noscript template textarea title select svg annotation-xml annotation iframe object canvas video audio".split()
+HIDDEN = "script style template textarea title select svg annotation-xml annotation iframe".split()
 RAW_TEXT, FOREIGN = {"script", "style", "title", "textarea"}, {"svg", "annotation", "annotation-xml"}
 _END = {x: re.compile(rf"</{x}\s*>", re.I) for x in HIDDEN}
 _SCAN = re.compile(
