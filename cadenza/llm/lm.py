@@ -268,19 +268,23 @@ class Filter:
 
     def __init__(self, rows: Iterator, buckets: int):
         self.buckets, self.place, self.size = buckets, np.zeros((3, buckets), dtype=np.uint64), np.zeros((3, buckets), dtype=np.uint64)
-        data, words = bytearray(), {}
+        data, words, at = [], [], 0
         for r in rows:
-            self.place[r["kind"], r["bucket"]] = len(data) // 8
-            self.size[r["kind"], r["bucket"]] = len(r["segment"]) // 8
-            data += r["segment"]
+            self.place[r["kind"], r["bucket"]], self.size[r["kind"], r["bucket"]] = at // 8, len(r["segment"]) // 8
+            at += len(r["segment"])
+            data.append(r["segment"])
             if r["kind"] == WORD:
-                keys = _unpacked(bytes(r["keys"]))
-                words[r["bucket"]] = keys, _wide(bytes(r["counts"]), len(keys))
-        each = [words[b] for b in sorted(words)]  # buckets in order are keys in order
-        empty = np.zeros(0, dtype=np.int64)
-        keys, counts = np.concatenate([empty.astype("<u8"), *[x[0] for x in each]]), np.concatenate([empty, *[x[1] for x in each]])
-        # bytes: a pickled array would be held twice on loading
-        self.data, self.words, self.counts, self.n_words = bytes(data), keys.tobytes(), _narrow(counts), len(keys)
+                words.append((r["bucket"], bytes(r["keys"]), bytes(r["counts"])))
+        self.data = b"".join(data)  # bytes: a pickled array would be held twice on loading
+        data.clear()
+        words.sort()  # buckets in order are keys in order
+        sizes = [len(_unpacked(k)) for _, k, _ in words]
+        self.n_words, at = sum(sizes), 0
+        keys, counts = np.empty(self.n_words, dtype="<u8"), np.empty(self.n_words, dtype="<i8")
+        for (_, k, c), n in zip(words, sizes, strict=True):
+            keys[at : at + n], counts[at : at + n] = _unpacked(k), _wide(c, n)
+            at += n
+        self.words, self.counts = keys.tobytes(), _narrow(counts)
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
         bucket = bucket_of(keys, self.buckets).astype(np.int64)
