@@ -16,7 +16,9 @@ def parser() -> argparse.ArgumentParser:
     c = commands.add_parser("activity", help="daily activity from user-log CSV files")
     c.add_argument("--files", nargs="+", required=True)
     c.add_argument("--output-dir", required=True)
+    c.add_argument("--raw-dir", default=".", help="where files given by name alone are")
     c.add_argument("--max-rows", type=int)
+    c.add_argument("--keep-partials", action="store_true")
     how = c.add_mutually_exclusive_group()
     how.add_argument("--resume", action="store_true")
     how.add_argument("--restart", action="store_true")
@@ -54,9 +56,10 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         spark = build_session(a.master)
         if a.command == "activity":
+            from cadenza.sources.files import resolved
             from cadenza.streaming.activity import run
 
-            print(json.dumps(run(spark, a.files, a.output_dir, a.max_rows, a.resume, a.restart), default=str))
+            print(json.dumps(run(spark, resolved(a.files, a.raw_dir), a.output_dir, a.max_rows, a.resume, a.restart, a.keep_partials), default=str))
         elif a.command == "load":
             from cadenza.sources.files import load
 

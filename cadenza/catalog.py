@@ -109,9 +109,16 @@ def _(t):
     return model.fact_churn(t.labels, t.users, t.files).select("msno", "expiry_cohort_month", "is_churn", "label_source")
 
 
-@query("jon02_fact_transaction", "SELECT source_file, msno, payment_method_id, plan_days AS payment_plan_days, listed AS plan_list_price, paid AS actual_amount_paid, renew AS is_auto_renew, tx AS transaction_date, expire AS membership_expire_date, cancel AS is_cancel FROM tx")
+@query("jon02_fact_transaction", "SELECT source_file, msno, payment_method_id, plan_days AS payment_plan_days, listed AS plan_list_price, paid AS actual_amount_paid, renew AS is_auto_renew, tx AS transaction_date, expire AS membership_expire_date, cancel AS is_cancel FROM tx JOIN users USING (msno)")
 def _(t):
-    return t.fact.select("source_file", "msno", "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid", "is_auto_renew", "transaction_date", "membership_expire_date", "is_cancel")
+    fact = model.fact_transaction(t.tx, t.files, model.dim_user(t.members, t.labels, t.tx))
+    return fact.where("user_key is not null").select("source_file", "msno", "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid", "is_auto_renew", "transaction_date", "membership_expire_date", "is_cancel")
+
+
+@query("jon02_user_keys", "SELECT msno, count(*) AS records, CAST(1 AS BIGINT) AS keys FROM tx JOIN users USING (msno) GROUP BY 1")
+def _(t):
+    fact = model.fact_transaction(t.tx, t.files, model.dim_user(t.members, t.labels, t.tx))
+    return fact.groupBy("msno").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("user_key").alias("keys"))
 
 
 @query("prj01_05_derived_columns", "SELECT source_file, diff AS price_difference, price_rel AS price_relationship, delta AS expiry_delta_days, delta < 0 AS has_negative_expiry_delta, delta = 0 AS has_zero_expiry_delta, delta > 730 AS has_long_expiry_delta, plan_rel AS plan_expiry_relationship, count(*) AS n FROM tx GROUP BY ALL")
@@ -157,10 +164,16 @@ def _(t):
     return n.select("source_file", F.lit(0).cast("long").alias("nothing"), d.percent(F.col("r"), F.col("n")).alias("renew_pct"), d.percent(F.col("n"), F.col("z")).alias("no_denominator"))
 
 
-@query("prj22_display_percent", "SELECT source_file, printf('%.2f', 100.0 * count(*) FILTER (WHERE renew) / count(*)) AS shown, 'N/A' AS without FROM tx GROUP BY 1")
+def shown_pct(n: str, of: str, places: int) -> str:
+    text, full = f"printf('%.{places}f', 100.0 * ({n}) / ({of}))", f"100.{'0' * places}"
+    return f"CASE WHEN ({of}) = 0 THEN 'N/A' WHEN ({n}) < ({of}) AND {text} = '{full}' THEN '<{full}' ELSE {text} END"
+
+
+@query("prj22_display_percent", f"SELECT source_file, {shown_pct('count(*) FILTER (WHERE renew)', 'count(*)', 2)} AS shown, {shown_pct('count(*) FILTER (WHERE renew)', 'count(*)', 4)} AS shown_in_four, {shown_pct('1000000 * count(*) - 1', '1000000 * count(*)', 2)} AS nearly, {shown_pct('1000000 * count(*) - 1', '1000000 * count(*)', 4)} AS nearly_in_four, 'N/A' AS without FROM tx GROUP BY 1")
 def _(t):
     n = t.fact.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_auto_renew").alias("r"))
-    return n.select("source_file", d.display_percent(F.col("r"), F.col("n")).alias("shown"), d.display_percent(F.col("n"), F.col("n") - F.col("n")).alias("without"))
+    r, n_, all_ = F.col("r"), F.col("n"), F.col("n") * 1000000
+    return n.select("source_file", d.display_percent(r, n_).alias("shown"), d.display_percent(r, n_, 4).alias("shown_in_four"), d.display_percent(all_ - 1, all_).alias("nearly"), d.display_percent(all_ - 1, all_, 4).alias("nearly_in_four"), d.display_percent(n_, n_ - n_).alias("without"))
 
 
 @query("prj23_casts", "SELECT CAST(strftime(tx, '%Y%m%d') AS INTEGER) AS number, tx AS day, renew AS flag, count(*) AS n FROM tx GROUP BY ALL")
@@ -362,10 +375,21 @@ def _(t):
     return m.withColumns({c: F.col(c).cast("decimal(38,0)") for c in [*a.COUNTERS, "source_record_count"]} | {"total_secs": F.col("total_secs").cast("decimal(38,2)")})
 
 
-@query("agg18_reconciliation", "SELECT " + ", ".join(f"true AS {c}_kept" for c in activity.METRICS) + f", {SUMS}, CAST(sum(secs) AS DECIMAL(38,2)) AS total_secs, CAST(count(*) AS DECIMAL(38,0)) AS source_record_count, count(DISTINCT msno || CAST(day AS VARCHAR)) AS daily_rows FROM logs")
+def reconciled(name: str, kept: str) -> str:
+    """All rows against those that ``kept`` leaves."""
+    each = {**{c: f"sum({c})" for c in a.COUNTERS}, "total_secs": "sum(secs)", "source_record_count": "count(*)"}
+    flags = ", ".join(f"{x} = coalesce({x} FILTER (WHERE {kept}), 0) AS {c}_kept" for c, x in each.items())
+    sums = ", ".join(f"CAST(coalesce({x} FILTER (WHERE {kept}), 0) AS DECIMAL(38,{2 if c == 'total_secs' else 0})) AS {c}" for c, x in each.items())
+    return f"SELECT '{name}' AS rows_of, {flags}, {sums}, count(DISTINCT msno || CAST(day AS VARCHAR)) FILTER (WHERE {kept}) AS daily_rows FROM logs"
+
+
+@query("agg18_reconciliation", f"{reconciled('all', 'true')} UNION ALL {reconciled('without errors', 'num_100 = 0')}")
 def _(t):
-    r = activity.reconciliation(t.logs, activity.daily(t.logs))
-    return r.withColumns({c: F.col(c).cast("decimal(38,0)") for c in [*a.COUNTERS, "source_record_count"]} | {"total_secs": F.col("total_secs").cast("decimal(38,2)")})
+    out = None
+    for name, rows in (("all", t.logs), ("without errors", t.logs.where("num_100 = 0"))):
+        r = activity.reconciliation(t.logs, activity.daily(rows)).withColumn("rows_of", F.lit(name))
+        out = r if out is None else out.union(r)
+    return out.withColumns({c: F.col(c).cast("decimal(38,0)") for c in [*a.COUNTERS, "source_record_count"]} | {"total_secs": F.col("total_secs").cast("decimal(38,2)")})
 
 
 # ---- joins, sets and overlaps
@@ -373,19 +397,32 @@ def _(t):
 ORIGINAL, V2 = "(SELECT * FROM tx WHERE source_file = 'transactions_original')", "(SELECT * FROM tx WHERE source_file = 'transactions_v2')"
 
 
-@query("jon06_enrichment_check", "SELECT count(*) AS users, CAST(0 AS BIGINT) AS differing FROM users")
+K = "CAST(substr(msno, 2) AS BIGINT)"
+
+
+def number(c: str = "msno"):
+    """The number in a user's name."""
+    return F.substring(c, 2, 20).cast("long")
+
+
+@query("jon06_enrichment_check", f"SELECT count(*) AS users, count(*) FILTER (WHERE {K} % 13 = 0 OR ({K} % 17 = 0 AND bd_raw IS NOT NULL)) AS differing FROM users")
 def _(t):
-    m = t.members.select(F.col("msno").alias("k"), F.col("bd_raw").alias("bd"), F.col("gender").alias("g"))
-    same = F.col("bd_raw").eqNullSafe(F.col("bd")) & F.col("gender").eqNullSafe(F.col("g"))
-    return t.users.join(m, F.col("msno") == F.col("k"), "left").agg(F.count(F.lit(1)).alias("users"), F.count_if(~same).alias("differing"))
+    k = number()
+    off = t.users.withColumns({"gender": F.when(k % 13 == 0, "other").otherwise(F.col("gender")), "bd_raw": F.when(k % 17 == 0, F.col("bd_raw") + 1).otherwise(F.col("bd_raw"))})
+    m = t.members.select(F.col("msno").alias("_m"), *[F.col(c).alias(f"_{c}") for c in checks.MEMBER])
+    same = F.lit(True)
+    for c in checks.MEMBER:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return off.join(m, F.col("msno") == F.col("_m"), "left").agg(F.count(F.lit(1)).alias("users"), F.count_if(~same).alias("differing"))
 
 
-@query("jon07_agg20_load_state", "SELECT f.name AS source_file, count(l.msno) AS loaded, count(DISTINCT l.msno) AS different FROM (VALUES ('members', 1), ('labels_feb', 2), ('labels_mar', 3), ('empty', 9)) f(name, k) LEFT JOIN (SELECT msno, file FROM labels UNION ALL SELECT msno, 1 FROM members) l ON l.file = f.k GROUP BY 1")
+@query("jon07_agg20_load_state", f"SELECT f.name AS source_file, count(l.line) AS loaded, count(DISTINCT l.line) AS different, min(l.line) AS least_row, max(l.line) AS greatest_row FROM (VALUES ('members', 1), ('labels_feb', 2), ('labels_mar', 3), ('empty', 9)) f(name, k) LEFT JOIN (SELECT line, file FROM labels UNION ALL SELECT {K}, 1 FROM members) l ON l.file = f.k GROUP BY 1")
 def _(t):
     files = t.spark.sql("SELECT * FROM VALUES ('members', 1L), ('labels_feb', 2L), ('labels_mar', 3L), ('empty', 9L) AS t(source_file, k)")
     rows = t.labels.select("source_file_key", "source_row_number").union(t.members.select("source_file_key", "source_row_number"))
-    state = rows.groupBy("source_file_key").agg(F.count("source_row_number").alias("loaded"), F.count_distinct("source_row_number").alias("different"))
-    return files.join(state, F.col("k") == F.col("source_file_key"), "left").select("source_file", F.coalesce("loaded", F.lit(0)).alias("loaded"), F.coalesce("different", F.lit(0)).alias("different"))
+    state = profiling.load_state(rows)
+    some = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return files.join(state, F.col("k") == F.col("source_file_key"), "left").select("source_file", some("loaded"), some("different"), "least_row", "greatest_row")
 
 
 @query("jon08_cross_one_row", "SELECT (SELECT count(*) FROM members) AS members, (SELECT count(*) FROM labels) AS labels")
@@ -411,6 +448,24 @@ def _(t):
     return out
 
 
+PERIOD = "CASE WHEN strftime(tx + INTERVAL 16 YEAR, '%Y%m%d') <= '20170228' THEN 'historical' WHEN strftime(tx + INTERVAL 16 YEAR, '%Y%m%d') <= '20170331' THEN 'march_2017' ELSE 'other' END"
+
+
+def overlap_sql(name: str, period: str, keys: str) -> str:
+    return f"SELECT '{name}' AS key_type, {period} AS period, count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a AND NOT b) AS only_first, count(*) FILTER (WHERE b AND NOT a) AS only_second FROM (SELECT {keys}, {period} AS p, bool_or(source_file = 'transactions_original') AS a, bool_or(source_file = 'transactions_v2') AS b FROM tx GROUP BY ALL) GROUP BY p".replace(f"SELECT '{name}' AS key_type, {period} AS period", f"SELECT '{name}' AS key_type, p AS period")
+
+
+@query("jon11_key_overlap_by_period", " UNION ALL ".join([overlap_sql("user", "'all'", "msno"), overlap_sql("user_date", PERIOD, "msno, tx"), overlap_sql("user_expiry", "'all'", "msno, expire")]))
+def _(t):
+    period = d.period(F.date_format(F.add_months("transaction_date", 192), "yyyyMMdd"))
+    out = None
+    for name, by, keys in (("user", F.lit("all"), ["msno"]), ("user_date", period, ["msno", "transaction_date"]), ("user_expiry", F.lit("all"), ["msno", "membership_expire_date"])):
+        rows = t.fact.withColumn("period", by)
+        x = sets.presence(part(rows, "transactions_original"), part(rows, "transactions_v2"), ["period", *keys], ["period"]).select(F.lit(name).alias("key_type"), "period", "shared", "only_first", "only_second")
+        out = x if out is None else out.union(x)
+    return out
+
+
 @query("jon12_agg31_label_matrix", "SELECT a AS feb, b AS mar, coalesce(n, 0) AS row_count FROM (VALUES (false, false), (false, true), (true, false), (true, true)) g(a, b) LEFT JOIN (SELECT f.is_churn AS x, m.is_churn AS y, count(*) AS n FROM labels f JOIN labels m ON f.msno = m.msno AND f.file = 2 AND m.file = 3 GROUP BY ALL) ON a = x AND b = y")
 def _(t):
     return profiling.flag_matrix(views.label_pairs(t.churn, COHORTS), "feb", "mar")
@@ -497,17 +552,30 @@ def _(t):
     return t.fact.groupBy("msno", "transaction_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("flt11_scalar_subqueries", "SELECT (SELECT count(*) FROM labels) <> 4 OR (SELECT count(*) FROM members) = 0 AS differs")
+@query("flt11_scalar_subqueries", "SELECT (SELECT count(*) FROM labels) <> (SELECT count(*) FROM members) OR (SELECT count(*) FROM members) = 0 AS differs, (SELECT count(*) FROM labels WHERE file = 2) <> (SELECT count(DISTINCT msno) FROM labels WHERE file = 2) OR (SELECT max(age) FROM users) > 100 AS broken, (SELECT count(*) FROM tx) > 10 * (SELECT count(*) FROM labels) AS many")
 def _(t):
     t.labels.createOrReplaceTempView("_labels")
     t.members.createOrReplaceTempView("_members")
-    return t.spark.sql("SELECT (SELECT count(*) FROM _labels) <> 4 OR (SELECT count(*) FROM _members) = 0 AS differs")
+    t.users.createOrReplaceTempView("_users")
+    t.fact.createOrReplaceTempView("_fact")
+    return t.spark.sql("""SELECT (SELECT count(*) FROM _labels) <> (SELECT count(*) FROM _members) OR (SELECT count(*) FROM _members) = 0 AS differs,
+      (SELECT count(*) FROM _labels WHERE source_file_key = 2) <> (SELECT count(DISTINCT msno) FROM _labels WHERE source_file_key = 2) OR (SELECT max(analytical_age) FROM _users) > 100 AS broken,
+      (SELECT count(*) FROM _fact) > 10 * (SELECT count(*) FROM _labels) AS many""")
+
+
+LIMITS = "count(*) FILTER (WHERE {0} < 0) AS negative, count(*) FILTER (WHERE {0} = 0) AS zero, count(*) FILTER (WHERE {0} > 0) AS positive, "
+
+
+@query("flt15_thresholds", f"SELECT {LIMITS.format('delta')}" + ", ".join(f"count(*) FILTER (WHERE delta > {k}) AS over_{k}" for k in profiling.DELTA_LIMITS) + " FROM tx")
+def _(t):
+    return profiling.threshold_counts(t.fact, profiling.range_counts(F.col("expiry_delta_days"), profiling.DELTA_LIMITS))
 
 
-@query("flt15_thresholds", "SELECT count(*) FILTER (WHERE delta < 0) AS negative, count(*) FILTER (WHERE delta = 0) AS zero, count(*) FILTER (WHERE delta > 31) AS over_31, count(*) FILTER (WHERE delta > 365) AS over_365, count(*) FILTER (WHERE delta > 730) AS over_730, count(*) FILTER (WHERE delta > 3650) AS over_3650 FROM tx")
+@query("flt15_agg33_age_thresholds", f"SELECT {LIMITS.format('bd_raw')}" + ", ".join(f"count(*) FILTER (WHERE bd_raw > {k}) AS over_{k}" for k in profiling.AGE_LIMITS) + ", count(bd_raw) AS numeric_rows FROM (SELECT bd_raw + CASE WHEN bd_raw > 90 THEN 15 ELSE 0 END AS bd_raw FROM members)")
 def _(t):
-    x = F.col("expiry_delta_days")
-    return profiling.threshold_counts(t.fact, {"negative": x < 0, "zero": x == 0} | {f"over_{k}": x > k for k in (31, 365, 730, 3650)})
+    x = F.col("bd_raw")
+    older = t.members.select((x + F.when(x > 90, 15).otherwise(0)).alias("bd_raw"))
+    return profiling.threshold_counts(older, profiling.range_counts(x, profiling.AGE_LIMITS) | {"numeric_rows": x.isNotNull()})
 
 
 @query("ord04_top_frequencies", "SELECT CAST(plan_days AS VARCHAR) AS value, count(*) AS row_count FROM tx GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -523,20 +591,38 @@ def _(t):
 
 # ---- profiles
 
-@query("agg19_load_metrics", "SELECT source_file, count(*) AS row_count, count(DISTINCT msno) AS users, min(tx) AS min_date, max(tx) AS max_date, min(expire) AS min_expiry, max(expire) AS max_expiry, CAST(sum(listed) AS BIGINT) AS listed, CAST(sum(paid) AS BIGINT) AS paid, count(*) FILTER (WHERE renew) AS renew, count(*) FILTER (WHERE cancel) AS cancel, count(*) FILTER (WHERE price_rel = 'equal') AS price_equal, count(*) FILTER (WHERE plan_rel = 'equal') AS plan_equal, CAST(0 AS BIGINT) AS null_rows, CAST(0 AS BIGINT) AS differing_derived FROM tx GROUP BY 1")
+BAD_TX = """bad AS (SELECT source_file, CASE WHEN line % 83 = 0 THEN NULL ELSE msno END AS msno, plan_days, listed, paid, renew, tx, expire, cancel, CASE WHEN line % 89 = 0 THEN diff + 1 ELSE diff END AS diff, delta, price_rel,
+  delta < 0 AS neg, CASE WHEN line % 97 = 0 THEN delta <> 0 ELSE delta = 0 END AS zero, delta > 730 AS far, CASE WHEN line % 79 = 0 THEN NULL ELSE plan_rel END AS plan_rel, line FROM tx)"""
+
+
+def bad_fact(t: Tables) -> DataFrame:
+    """Transactions of which some have a null, and some a derived column that is not what its sources give."""
+    n = F.col("source_row_number")
+    c = F.col
+    return t.fact.withColumns({
+        "msno": F.when(n % 83 != 0, c("msno")), "price_difference": c("price_difference") + F.when(n % 89 == 0, 1).otherwise(0),
+        "has_zero_expiry_delta": F.when(n % 97 == 0, ~c("has_zero_expiry_delta")).otherwise(c("has_zero_expiry_delta")), "plan_expiry_relationship": F.when(n % 79 != 0, c("plan_expiry_relationship")),
+    })
+
+
+METRIC_SQL = {
+    "cancel_false": "NOT cancel", "cancel_true": "cancel", "negative_expiry": "neg", "zero_expiry": "zero", "long_expiry": "far", "over_3650_expiry": "delta > 3650", "expiry_1970": "expire = DATE '1970-01-01'", "expiry_2036": "expire = DATE '2036-10-15'",
+    "price_equal": "price_rel = 'equal'", "paid_below_list": "price_rel = 'paid_below_list'", "paid_above_list": "price_rel = 'paid_above_list'", "plan_equal": "plan_rel = 'equal'", "expiry_shorter": "plan_rel = 'expiry_shorter'", "expiry_longer": "plan_rel = 'expiry_longer'",
+    "plan_days_zero": "plan_days = 0", "plan_days_30": "plan_days = 30", "plan_days_over_31": "plan_days > 31", "plan_days_over_365": "plan_days > 365", "list_price_zero": "listed = 0", "paid_zero": "paid = 0", "paid_zero_list_positive": "paid = 0 AND listed > 0",
+    "list_zero_paid_positive": "listed = 0 AND paid > 0", "both_prices_zero": "listed = 0 AND paid = 0", "null_source_rows": "msno IS NULL", "null_derived_rows": "plan_rel IS NULL", "wrong_derived_rows": "line % 89 = 0 OR line % 97 = 0 OR line % 79 = 0",
+}
+
+
+@query("agg19_load_metrics", f", {BAD_TX} SELECT source_file, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in METRIC_SQL.items()) + " FROM bad GROUP BY 1")
 def _(t):
-    again = d.transaction_columns(t.fact.drop("price_difference"))
-    wrong = ~(F.col("price_difference").eqNullSafe(F.col("plan_list_price") - F.col("actual_amount_paid")) & F.col("expiry_delta_days").eqNullSafe(F.datediff("membership_expire_date", "transaction_date")))
-    return again.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"), F.min("transaction_date").alias("min_date"), F.max("transaction_date").alias("max_date"), F.min("membership_expire_date").alias("min_expiry"), F.max("membership_expire_date").alias("max_expiry"),
-        F.sum("plan_list_price").alias("listed"), F.sum("actual_amount_paid").alias("paid"), F.count_if("is_auto_renew").alias("renew"), F.count_if("is_cancel").alias("cancel"), views.n_if("price_relationship = 'equal'").alias("price_equal"),
-        views.n_if("plan_expiry_relationship = 'equal'").alias("plan_equal"), views.n_if("msno is null or transaction_date is null or plan_list_price is null").alias("null_rows"), F.count_if(wrong).alias("differing_derived"),
-    )
+    return profiling.load_metrics(bad_fact(t))
 
 
-@query("agg21_27_date_profile", "SELECT count(*) AS rows_read, CAST(0 AS BIGINT) AS empty_rows, CAST(0 AS BIGINT) AS invalid_rows, strftime(min(tx), '%Y%m%d') AS min_date, strftime(max(tx), '%Y%m%d') AS max_date FROM tx")
+@query("agg21_27_date_profile", "SELECT count(*) AS rows_read, count(*) FILTER (WHERE m) AS malformed_rows, count(*) FILTER (WHERE NOT m AND d = '') AS empty_rows, count(*) FILTER (WHERE NOT m AND d = '20170230') AS invalid_rows, min(d) FILTER (WHERE NOT m AND d NOT IN ('', '20170230')) AS min_date, max(d) FILTER (WHERE NOT m AND d NOT IN ('', '20170230')) AS max_date FROM (SELECT CASE WHEN line % 23 = 0 THEN '' WHEN line % 29 = 0 THEN '20170230' ELSE strftime(tx, '%Y%m%d') END AS d, line % 31 = 0 AS m FROM tx)")
 def _(t):
-    return profiling.date_profile(t.fact.select(F.date_format("transaction_date", "yyyyMMdd").alias("d")), "d")
+    n = F.col("source_row_number")
+    text = F.when(n % 23 == 0, "").when(n % 29 == 0, "20170230").otherwise(F.date_format("transaction_date", "yyyyMMdd"))
+    return profiling.date_profile(t.fact.select(text.alias("d"), F.when(n % 31 == 0, "cut").alias("_malformed")), "d", "_malformed")
 
 
 @query("agg27_year_histogram", "SELECT CAST(year(tx) AS INTEGER) AS year, count(*) AS row_count FROM tx GROUP BY 1")
@@ -544,9 +630,16 @@ def _(t):
     return profiling.year_histogram(t.fact, "transaction_date")
 
 
-@query("agg22_integer_profile", "SELECT field, CAST(0 AS BIGINT) AS empty_rows, CAST(0 AS BIGINT) AS non_integer_rows, count(*) AS integer_rows, count(DISTINCT v) AS distinct_values, CAST(min(v) AS DECIMAL(38,0)) AS min_value, CAST(max(v) AS DECIMAL(38,0)) AS max_value FROM (SELECT 'payment_plan_days' AS field, CAST(plan_days AS BIGINT) AS v FROM tx UNION ALL SELECT 'actual_amount_paid', paid FROM tx UNION ALL SELECT 'payment_method_id', payment_method_id FROM tx) GROUP BY 1")
+@query("agg22_integer_profile", """, texts AS (SELECT 'payment_plan_days' AS field, CASE WHEN line % 23 = 0 THEN '' WHEN line % 29 = 0 THEN '3.5' WHEN line % 31 = 0 THEN '-7' ELSE CAST(plan_days AS VARCHAR) END AS v FROM tx UNION ALL SELECT 'actual_amount_paid', CASE WHEN line % 37 = 0 THEN ' 1' ELSE CAST(paid AS VARCHAR) END FROM tx UNION ALL SELECT 'payment_method_id', CASE WHEN line % 41 = 0 THEN NULL ELSE CAST(payment_method_id AS VARCHAR) END FROM tx),
+  told AS (SELECT field, coalesce(v, '') = '' AS e, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN CAST(v AS BIGINT) END AS x FROM texts)
+  SELECT field, count(*) FILTER (WHERE e) AS empty_rows, count(*) FILTER (WHERE NOT e AND x IS NULL) AS non_integer_rows, count(x) AS integer_rows, count(DISTINCT x) AS distinct_values, CAST(min(x) AS DECIMAL(38,0)) AS min_value, CAST(max(x) AS DECIMAL(38,0)) AS max_value FROM told GROUP BY 1""")
 def _(t):
-    return profiling.integer_profile(t.fact, ["payment_plan_days", "actual_amount_paid", "payment_method_id"])
+    n, text = F.col("source_row_number"), lambda c: F.col(c).cast("string")
+    rows = t.fact.select(
+        F.when(n % 23 == 0, "").when(n % 29 == 0, "3.5").when(n % 31 == 0, "-7").otherwise(text("payment_plan_days")).alias("payment_plan_days"),
+        F.when(n % 37 == 0, " 1").otherwise(text("actual_amount_paid")).alias("actual_amount_paid"), F.when(n % 41 != 0, text("payment_method_id")).alias("payment_method_id"),
+    )
+    return profiling.integer_profile(rows, ["payment_plan_days", "actual_amount_paid", "payment_method_id"])
 
 
 @query("agg23_value_frequencies", "SELECT CAST(payment_method_id AS VARCHAR) AS value, count(*) AS row_count FROM tx GROUP BY 1")
@@ -567,9 +660,24 @@ def _(t):
     )
 
 
-@query("agg26_flag_matrix", "SELECT a AS is_auto_renew, b AS is_cancel, coalesce(n, 0) AS row_count FROM (VALUES (false, false), (false, true), (true, false), (true, true)) g(a, b) LEFT JOIN (SELECT renew, cancel, count(*) AS n FROM tx GROUP BY ALL) ON a = renew AND b = cancel")
+@query("agg26_flag_matrix", """, flags AS (SELECT CASE WHEN line % 23 = 0 THEN '' WHEN line % 29 = 0 THEN '2' ELSE CAST(CAST(renew AS INTEGER) AS VARCHAR) END AS r, CASE WHEN line % 31 = 0 THEN NULL ELSE CAST(CAST(cancel AS INTEGER) AS VARCHAR) END AS c FROM tx)
+  SELECT a AS is_auto_renew, b AS is_cancel, (SELECT count(*) FROM flags WHERE r = CAST(CAST(a AS INTEGER) AS VARCHAR) AND c = CAST(CAST(b AS INTEGER) AS VARCHAR)) AS row_count FROM (VALUES (false, false), (false, true), (true, false), (true, true)) g(a, b)
+  UNION ALL SELECT NULL, NULL, count(*) FROM flags WHERE coalesce(r NOT IN ('0', '1') OR c NOT IN ('0', '1'), true)""")
+def _(t):
+    n = F.col("source_row_number")
+    text = lambda c: F.col(c).cast("int").cast("string")
+    rows = t.fact.select(F.when(n % 23 == 0, "").when(n % 29 == 0, "2").otherwise(text("is_auto_renew")).alias("is_auto_renew"), F.when(n % 31 != 0, text("is_cancel")).alias("is_cancel"))
+    return profiling.flag_matrix_of_text(rows, "is_auto_renew", "is_cancel")
+
+
+@query("agg28_delta_distribution", "SELECT delta AS expiry_delta_days, count(*) AS row_count FROM tx GROUP BY 1")
 def _(t):
-    return profiling.flag_matrix(t.fact, "is_auto_renew", "is_cancel")
+    return t.fact.groupBy("expiry_delta_days").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("agg28_plan_comparison", "SELECT count(*) AS eligible, count(*) FILTER (WHERE delta = plan_days) AS equal, count(*) FILTER (WHERE delta < plan_days) AS less, count(*) FILTER (WHERE delta > plan_days) AS greater, count(*) FILTER (WHERE cancel AND delta < 0) AS cancelled_negative, count(*) FILTER (WHERE cancel AND delta = 0) AS cancelled_zero, count(*) FILTER (WHERE cancel AND delta > 0) AS cancelled_positive FROM tx")
+def _(t):
+    return profiling.plan_comparison(t.fact)
 
 
 @query("agg28_expiry_delta", "SELECT cancel AS is_cancel, CAST(sign(delta) AS INTEGER) AS delta_sign, plan_rel AS plan_expiry_relationship, count(*) AS row_count FROM tx GROUP BY ALL")
@@ -577,9 +685,37 @@ def _(t):
     return t.fact.groupBy("is_cancel", F.signum(F.col("expiry_delta_days")).cast("int").alias("delta_sign"), "plan_expiry_relationship").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("agg30_label_states", "SELECT count(*) AS users, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE c) AS conflicting FROM (SELECT msno, count(*) AS n, min(CAST(is_churn AS VARCHAR)) <> max(CAST(is_churn AS VARCHAR)) AS c FROM labels GROUP BY 1)")
+LABEL_ROWS = """told AS (SELECT msno, file, line, CASE WHEN line % 23 = 0 THEN '' WHEN line % 29 = 0 THEN '2' ELSE CAST(CAST(is_churn AS INTEGER) AS VARCHAR) END AS label FROM labels),
+  rows_of AS (SELECT * FROM told UNION ALL SELECT msno, file, line + 1000000000, CASE label WHEN '1' THEN '0' ELSE '1' END FROM told WHERE line % 31 = 0 UNION ALL SELECT msno, file, line + 2000000000, label FROM told WHERE line % 37 = 0),
+  states AS (SELECT file, msno, count(*) AS n, arg_min(label, line) AS label, min(label) <> max(label) AS c FROM rows_of GROUP BY 1, 2)"""
+
+
+def label_rows(t: Tables, key: int) -> DataFrame:
+    """Labels of one file as text: some empty, some of another kind, some users twice, with the same label or another."""
+    n = F.col("source_row_number")
+    one = t.labels.where(F.col("source_file_key") == key).select("msno", "source_row_number", F.when(n % 23 == 0, "").when(n % 29 == 0, "2").otherwise(F.col("is_churn").cast("int").cast("string")).alias("is_churn"))
+    other = one.where(n % 31 == 0).withColumns({"source_row_number": n + 1000000000, "is_churn": F.when(F.col("is_churn") == "1", "0").otherwise("1")})
+    return one.union(other).union(one.where(n % 37 == 0).withColumn("source_row_number", n + 2000000000))
+
+
+@query("agg30_label_profile", f""", {LABEL_ROWS} SELECT s.file, (SELECT count(*) FROM rows_of r WHERE r.file = s.file) AS total_rows, count(*) AS distinct_users, CAST(sum(n - 1) AS BIGINT) AS duplicate_occurrences, count(*) FILTER (WHERE n > 1) AS duplicated_users, count(*) FILTER (WHERE c) AS conflicting_users,
+  (SELECT count(*) FROM rows_of r WHERE r.file = s.file AND label = '1') AS churn_rows, (SELECT count(*) FROM rows_of r WHERE r.file = s.file AND label = '0') AS non_churn_rows, (SELECT count(*) FROM rows_of r WHERE r.file = s.file AND label = '') AS missing_labels, (SELECT count(*) FROM rows_of r WHERE r.file = s.file AND label NOT IN ('0', '1', '')) AS invalid_labels FROM states s GROUP BY s.file""")
+def _(t):
+    return profiling.label_profile(label_rows(t, 2)).withColumn("file", F.lit(2)).unionByName(profiling.label_profile(label_rows(t, 3)).withColumn("file", F.lit(3)))
+
+
+@query("agg30_label_states", f", {LABEL_ROWS} SELECT msno, n AS occurrences, label, c AS conflicting FROM states WHERE file = 2")
 def _(t):
-    return profiling.label_states(t.labels).agg(F.count(F.lit(1)).alias("users"), views.n_if("occurrences > 1").alias("repeated"), F.count_if("conflicting").alias("conflicting"))
+    return profiling.label_states(label_rows(t, 2), order="source_row_number")
+
+
+GOOD = "x.label IN ('0', '1') AND y.label IN ('0', '1') AND NOT x.c AND NOT y.c"
+CELLS = ", ".join(f"count(*) FILTER (WHERE {GOOD} AND x.label = '{p}' AND y.label = '{q}') AS from_{p}_to_{q}" for p in "01" for q in "01")
+
+
+@query("agg31_label_stability", f", {LABEL_ROWS} SELECT count(*) FILTER (WHERE x.msno IS NOT NULL AND y.msno IS NOT NULL) AS shared_users, count(*) FILTER (WHERE y.msno IS NULL) AS first_only, count(*) FILTER (WHERE x.msno IS NULL) AS second_only, count(*) FILTER (WHERE x.msno IS NOT NULL AND y.msno IS NOT NULL AND NOT ({GOOD})) AS excluded_users, {CELLS}, count(*) FILTER (WHERE {GOOD} AND x.label = y.label) AS stayed, count(*) FILTER (WHERE {GOOD} AND x.label <> y.label) AS changed FROM (SELECT * FROM states WHERE file = 2) x FULL JOIN (SELECT * FROM states WHERE file = 3) y ON x.msno = y.msno")
+def _(t):
+    return profiling.label_stability(*[profiling.label_states(label_rows(t, k), order="source_row_number") for k in (2, 3)])
 
 
 @query("agg32_reference_integrity", "SELECT CAST(sum(n) AS BIGINT) AS rows_read, count(*) AS distinct_ids, CAST(sum(n - 1) AS BIGINT) AS duplicate_occurrences, count(*) FILTER (WHERE n > 1) AS duplicated_ids, CAST(0 AS BIGINT) AS empty_ids FROM (SELECT msno, count(*) AS n FROM tx GROUP BY 1)")
@@ -592,10 +728,22 @@ def _(t):
     return profiling.completeness(t.members, ["gender", "city_code", "bd_raw"])
 
 
-@query("agg34_registration_dates", "SELECT min(registration_init_date) AS least, max(registration_init_date) AS most, count(*) FILTER (WHERE registration_init_date < DATE '2004-06-01') AS early, count(*) FILTER (WHERE registration_init_date > DATE '2007-12-31') AS late FROM members")
+REGISTERED = f"(SELECT CASE WHEN {K} % 23 = 0 THEN '20040231' WHEN {K} % 29 = 0 THEN '20031231' WHEN {K} % 31 = 0 THEN '20180101' WHEN {K} % 37 = 0 THEN '' ELSE strftime(registration_init_date, '%Y%m%d') END AS d FROM members)"
+
+
+def registered(t: Tables) -> DataFrame:
+    k = number()
+    return t.members.select(F.when(k % 23 == 0, "20040231").when(k % 29 == 0, "20031231").when(k % 31 == 0, "20180101").when(k % 37 == 0, "").otherwise(F.date_format("registration_init_date", "yyyyMMdd")).alias("registration_init_time"))
+
+
+@query("agg34_registration_dates", f"SELECT count(*) FILTER (WHERE x IS NULL) AS invalid_rows, min(x) AS min_date, max(x) AS max_date, count(*) FILTER (WHERE x < DATE '2004-01-01') AS rows_before, count(*) FILTER (WHERE x > DATE '2017-12-31') AS rows_after FROM (SELECT CAST(try_strptime(d, '%Y%m%d') AS DATE) AS x FROM {REGISTERED})")
+def _(t):
+    return profiling.registration_profile(registered(t), "registration_init_time")
+
+
+@query("agg34_registration_years", f"SELECT CAST(substr(d, 1, 4) AS INTEGER) AS year, count(*) AS row_count FROM {REGISTERED} WHERE try_strptime(d, '%Y%m%d') IS NOT NULL GROUP BY 1")
 def _(t):
-    x = F.col("registration_init_date")
-    return t.members.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(x < F.lit("2004-06-01").cast("date")).alias("early"), F.count_if(x > F.lit("2007-12-31").cast("date")).alias("late"))
+    return profiling.registration_years(registered(t), "registration_init_time")
 
 
 @query("agg35_duplicate_groups", f"SELECT count(*) FILTER (WHERE n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS occurrences_beyond_first, count(*) AS distinct_rows FROM (SELECT {FIELDS}, count(*) AS n FROM tx GROUP BY ALL)")
@@ -613,21 +761,73 @@ def _(t):
     return t.users.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("gender", "city_code", "analytical_age")])
 
 
+@query("agg37_recomputation_audit", f", {BAD_TX} SELECT source_file, count(*) FILTER (WHERE diff IS DISTINCT FROM listed - paid) AS price_difference, count(*) FILTER (WHERE zero IS DISTINCT FROM (delta = 0)) AS has_zero_expiry_delta, count(*) FILTER (WHERE plan_rel IS NULL) AS plan_expiry_relationship, count(*) FILTER (WHERE neg IS DISTINCT FROM (expire - tx < 0)) AS has_negative_expiry_delta FROM bad GROUP BY 1")
+def _(t):
+    again = d.derived_columns()
+    names = ("price_difference", "has_zero_expiry_delta", "plan_expiry_relationship", "has_negative_expiry_delta")
+    return bad_fact(t).groupBy("source_file").agg(*[F.count_if(~F.col(c).eqNullSafe(again[c])).alias(c) for c in names])
+
+
 # ---- checks
 
-@query("chk03_05_constraints", "SELECT * FROM (VALUES ('cohort_is_month_start', CAST(0 AS BIGINT)), ('label_lineage_unique', 0), ('member_fields_go_together', 0), ('user_and_cohort_unique', 0), ('user_known', 0), ('user_unique', 0)) t(rule, row_count)", base=False)
-def _(t):
-    out = None
-    for c in [*checks.user_checks(t.users), *checks.churn_checks(t.churn, t.users, "msno")]:
-        out = c if out is None else out.union(c)
+def every(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for c in found[1:]:
+        out = out.union(c)
     return out
 
 
-@query("chk06_layer_equalities", "SELECT 'universe' AS rule, CAST(0 AS BIGINT) AS row_count UNION ALL SELECT 'lineage_preserved', 0", base=False)
+def rule_rows(of: str, **rules: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS rule, ({x if x.startswith('SELECT') else f'SELECT count(*) FILTER (WHERE {x}) FROM {of}'}) AS row_count" for k, x in rules.items())
+
+
+@query("chk03_08_staging_rules", """, bad AS (SELECT CASE WHEN line % 43 = 0 THEN 99 ELSE file END AS f, CASE WHEN line % 37 = 0 THEN 0 ELSE line END AS r, CASE WHEN line % 41 = 0 THEN ' ' ELSE msno END AS m, CASE WHEN line % 47 = 0 THEN cohort + 14 ELSE cohort END AS c,
+  CASE WHEN line % 29 = 0 THEN ' ' WHEN line % 2 = 0 THEN 'male' END AS g FROM (SELECT * FROM labels UNION ALL SELECT * FROM labels WHERE line % 53 = 0)) """ + rule_rows("bad", row_number_positive="r <= 0", msno_not_empty="trim(m) = ''", gender_not_empty="trim(g) = ''", cohort_is_month_start="day(c) <> 1", lineage_unique="SELECT count(*) FROM (SELECT f, r FROM bad GROUP BY ALL HAVING count(*) > 1)", source_file_known="f = 99"))
+def _(t):
+    n, month = F.col("source_row_number"), F.col("expiry_cohort_month")
+    bad = t.labels.union(t.labels.where(n % 53 == 0)).select(
+        F.when(n % 43 == 0, 99).otherwise(F.col("source_file_key")).alias("source_file_key"), F.when(n % 37 == 0, 0).otherwise(n).alias("source_row_number"), F.when(n % 41 == 0, " ").otherwise(F.col("msno")).alias("msno"),
+        F.when(n % 47 == 0, F.date_add(month, 14)).otherwise(month).alias("cohort"), F.when(n % 29 == 0, " ").when(n % 2 == 0, "male").alias("gender"),
+    )
+    return every(checks.staging_checks(bad, t.files, "cohort", "gender"))
+
+
+@query("chk04_user_rules", f", bad AS (SELECT msno, known, CASE WHEN k % 23 = 0 THEN NULL ELSE city_code END AS city, CASE WHEN NOT known AND k % 3 = 0 THEN 'male' ELSE gender END AS g FROM (SELECT *, {K} AS k FROM users UNION ALL SELECT *, {K} FROM users WHERE {K} % 31 = 0)) " + rule_rows("bad", user_unique="SELECT count(*) FROM (SELECT msno FROM bad GROUP BY 1 HAVING count(*) > 1)", member_fields_go_together="(known AND city IS NULL) OR (NOT known AND g IS NOT NULL)"))
+def _(t):
+    k = number()
+    bad = t.users.union(t.users.where(k % 31 == 0))
+    bad = bad.withColumns({"city_code": F.when(k % 23 != 0, F.col("city_code")), "gender": F.when(~F.col("has_member_metadata") & (k % 3 == 0), "male").otherwise(F.col("gender"))})
+    return every(checks.user_checks(bad))
+
+
+COHORT_OF = "CASE f WHEN 2 THEN DATE '2001-02-01' ELSE DATE '2001-03-01' END"
+
+
+@query("chk05_churn_rules", f""", bad AS (SELECT CASE WHEN line % 61 = 0 THEN 'x' || msno ELSE msno END AS m, f, CASE WHEN line % 67 = 0 THEN 0 ELSE line END AS r, CASE WHEN line % 71 = 0 THEN cohort + 3 WHEN line % 59 = 0 THEN (CASE f WHEN 3 THEN DATE '2001-02-01' ELSE DATE '2001-03-01' END) ELSE cohort END AS c
+  FROM (SELECT *, file AS f FROM labels UNION ALL SELECT *, file FROM labels WHERE line % 53 = 0)) """ + rule_rows("bad", user_and_cohort_unique="SELECT count(*) FROM (SELECT m, c FROM bad GROUP BY ALL HAVING count(*) > 1)", label_lineage_unique="SELECT count(*) FROM (SELECT f, r FROM bad GROUP BY ALL HAVING count(*) > 1)", user_known="m NOT IN (SELECT msno FROM users)", cohort_is_month_start="day(c) <> 1", row_number_positive="r <= 0", cohort_of_its_file=f"c <> {COHORT_OF}"))
 def _(t):
-    universe = checks.same_rows(t.users.select("msno"), t.members.select("msno").union(t.labels.select("msno")).union(t.tx.select("msno")).distinct(), "universe")
-    lineage = checks.same_rows(t.churn.select("source_file_key", "source_row_number"), t.labels.select("source_file_key", "source_row_number"), "lineage_preserved")
-    return universe.union(lineage)
+    n, month = F.col("source_row_number"), F.col("expiry_cohort_month")
+    feb, mar = [F.lit(x).cast("date") for x in COHORTS]
+    bad = t.churn.union(t.churn.where(n % 53 == 0)).withColumns({
+        "msno": F.when(n % 61 == 0, F.concat(F.lit("x"), "msno")).otherwise(F.col("msno")), "source_row_number": F.when(n % 67 == 0, 0).otherwise(n),
+        "expiry_cohort_month": F.when(n % 71 == 0, F.date_add(month, 3)).when(n % 59 == 0, F.when(F.col("source_file_key") == 3, feb).otherwise(mar)).otherwise(month),
+    })
+    return every(checks.churn_checks(bad, t.users, "msno", dict(zip(("labels_feb", "labels_mar"), COHORTS, strict=True))))
+
+
+def differing(first: str, second: str) -> str:
+    return f"SELECT count(*) FROM (({first} EXCEPT {second}) UNION ALL ({second} EXCEPT {first}))"
+
+
+@query("chk06_layer_equalities", f""", u AS (SELECT *, {K} AS k FROM users), seen AS (SELECT msno, cohort, file, line, CASE WHEN line % 17 = 0 THEN NOT is_churn ELSE is_churn END AS is_churn FROM labels WHERE line % 19 <> 0) """ + rule_rows(
+    "u", universe="k % 19 = 0", enrichment="k % 19 <> 0 AND k % 13 = 0", age="k % 19 <> 0 AND k % 11 = 0 AND age IS DISTINCT FROM 1", lineage=differing("SELECT file, line, msno, is_churn, cohort FROM labels", "SELECT file, line, msno, is_churn, cohort FROM seen"),
+    label_counts=differing("SELECT cohort, is_churn, count(*) FROM labels GROUP BY 1, 2", "SELECT cohort, is_churn, count(*) FROM seen GROUP BY 1, 2"), transaction_counts=differing("SELECT source_file, count(*) FROM tx GROUP BY 1", "SELECT source_file, count(*) FROM tx WHERE payment_method_id <> 7 GROUP BY 1"), no_forbidden_column="SELECT 2"))
+def _(t):
+    k, n = number(), F.col("source_row_number")
+    users = t.users.where(k % 19 != 0).withColumns({"gender": F.when(k % 13 == 0, "other").otherwise(F.col("gender")), "analytical_age": F.when(k % 11 == 0, F.lit(1).cast("smallint")).otherwise(F.col("analytical_age")), "is_churn": F.lit(True)})
+    churn = model.fact_churn(t.labels, users, t.files).withColumn("is_churn", F.when(n % 17 == 0, ~F.col("is_churn")).otherwise(F.col("is_churn")))
+    fact = t.fact.where("payment_method_id <> 7").withColumn("MRR", F.lit(0))
+    return every(checks.layer_checks(users, churn, fact, t.members, t.labels, t.tx))
 
 
 @query("chk10_row_contract", "SELECT (SELECT count(*) FROM (SELECT DISTINCT cohort, is_churn FROM labels)) AS behavior_rows, CAST(9 AS BIGINT) AS distribution_rows, CAST(4 AS BIGINT) AS transition_rows, CAST(1 AS BIGINT) AS kpi_rows")
@@ -815,19 +1015,32 @@ MANIFEST_COLUMNS = "m(file_name, relative_path, file_size_bytes, row_count, sha2
   UNION ALL SELECT 'unique_unhashed_file', count(*) FROM (SELECT 1 FROM m WHERE sha256 IS NULL GROUP BY relative_path, file_size_bytes HAVING count(*) > 1)""", base=False)
 def _(t):
     rows = t.spark.sql(f"SELECT * FROM VALUES {MANIFEST.replace('VARCHAR', 'STRING')} AS {MANIFEST_COLUMNS}")
-    out = None
-    for c in checks.manifest_checks(rows):
-        out = c if out is None else out.union(c)
-    return out
-
-
-@query("chk07_golden_rows", "SELECT 'transitions' AS rule, CAST(0 AS BIGINT) AS row_count UNION ALL SELECT 'one_row_off', 2", base=False)
-def _(t):
-    found = views.churn_transitions(t.churn, COHORTS).select("feb_label", "mar_label", "users")
-    at = lambda c, n: t.churn.where(F.col("expiry_cohort_month") == F.lit(c).cast("date")).select("msno", d.status(F.col("is_churn")).alias(n))
-    golden = at(COHORTS[0], "feb_label").join(at(COHORTS[1], "mar_label"), "msno").groupBy("feb_label", "mar_label").agg(F.count(F.lit(1)).alias("users"))
-    off = golden.withColumn("users", F.col("users") + F.when((F.col("feb_label") == "churn") & (F.col("mar_label") == "churn"), 1).otherwise(0))
-    return checks.same_rows(found, golden, "transitions").union(checks.same_rows(found, off, "one_row_off"))
+    return every(checks.manifest_checks(rows))
+
+
+#: Golden rows of the summaries over the tables of a hundredth (fixed values); over others the rule tells how many rows differ.
+GOLDEN_ROWS = {
+    "transitions": ("transition, users, shared_users", "('non_churn_to_non_churn', 1029, 1227), ('non_churn_to_churn', 113, 1227), ('churn_to_non_churn', 76, 1227), ('churn_to_churn', 9, 1227)", f"SELECT CASE WHEN a THEN 'churn' ELSE 'non_churn' END || '_to_' || CASE WHEN b THEN 'churn' ELSE 'non_churn' END AS transition, users, CAST(sum(users) OVER () AS BIGINT) AS shared_users FROM ({TRANSITION})"),
+    "distributions": ("distribution, category, records", "('payment_plan_days', '0', 1175), ('payment_plan_days', '01-29', 34969), ('payment_plan_days', '30', 1217), ('payment_plan_days', '31', 1149), ('payment_plan_days', '032-365', 20291), ('payment_plan_days', 'over_365', 1199), ('price_relationship', 'equal', 197), ('price_relationship', 'paid_below_list', 38551), ('price_relationship', 'paid_above_list', 21252)", f"SELECT distribution, category, records FROM ({BANDS})"),
+    "cohorts": ("expiry_cohort_month, observation_count, churned_count", "(DATE '2001-02-01', 1350, 94), (DATE '2001-03-01', 1363, 136)", "SELECT cohort, count(*), count(*) FILTER (WHERE is_churn) FROM labels GROUP BY 1"),
+    "behavior": ("expiry_cohort_month, is_churn, cohort_users", "(DATE '2001-02-01', false, 1256), (DATE '2001-02-01', true, 94), (DATE '2001-03-01', false, 1227), (DATE '2001-03-01', true, 136)", "SELECT cohort, is_churn, count(*) FROM labels GROUP BY 1, 2"),
+    "kpis": ("canonical_user_count, transaction_records", "(1500, 60000)", "SELECT (SELECT count(*) FROM users), (SELECT count(*) FROM tx)"),
+}
+
+
+@query("chk07_golden_rows", rule_rows("", **{k: differing(sql, f"SELECT * FROM (VALUES {rows})") for k, (_, rows, sql) in GOLDEN_ROWS.items()}))
+def _(t):
+    found = {
+        "transitions": views.churn_transitions(t.churn, COHORTS), "distributions": views.distributions(t.fact), "cohorts": views.cohort_summary(t.churn), "behavior": views.churn_behavior(t.churn, t.fact),
+        "kpis": views.overview_kpis(t.users, t.churn, views.transaction_activity(t.fact), COHORTS),
+    }
+    out = []
+    for k, (names, rows, _) in GOLDEN_ROWS.items():
+        names = names.split(", ")
+        df = found[k].select(*names)
+        golden = t.spark.sql(f"SELECT * FROM VALUES {rows} AS g({', '.join(names)})").select(*[F.col(c).cast(df.schema[c].dataType) for c in names])
+        out.append(checks.same_rows(df, golden, k))
+    return every(out)
 
 
 GOLDEN = "(30, 149, 99, DATE '2017-01-01', DATE '2017-01-31'), (30, 99, 149, DATE '2017-02-10', DATE '2017-02-01'), (0, 0, 0, DATE '2017-01-01', DATE '2019-01-02'), (0, 1, 1, DATE '2017-01-01', DATE '2017-01-01'), (0, 1, 1, DATE '2017-01-01', DATE '2019-01-01')"

@@ -20,20 +20,25 @@ def three_way(a: Column, b: Column, same: str, less: str, more: str) -> Column:
     return F.when(a == b, same).when(a < b, less).otherwise(more)
 
 
-def transaction_columns(df: DataFrame) -> DataFrame:
+SOURCE_COLUMNS = "msno payment_method_id payment_plan_days plan_list_price actual_amount_paid is_auto_renew transaction_date membership_expire_date is_cancel".split()
+
+
+def derived_columns() -> dict[str, Column]:
     """The seven derived columns of a transaction."""
     days = F.datediff("membership_expire_date", "transaction_date")
-    return df.withColumns(
-        {
-            "price_difference": F.col("plan_list_price") - F.col("actual_amount_paid"),
-            "price_relationship": three_way(F.col("actual_amount_paid"), F.col("plan_list_price"), "equal", "paid_below_list", "paid_above_list"),
-            "expiry_delta_days": days,
-            "has_negative_expiry_delta": days < 0,
-            "has_zero_expiry_delta": days == 0,
-            "has_long_expiry_delta": days > LONG_EXPIRY_DAYS,
-            "plan_expiry_relationship": three_way(days, F.col("payment_plan_days"), "equal", "expiry_shorter", "expiry_longer"),
-        }
-    )
+    return {
+        "price_difference": F.col("plan_list_price") - F.col("actual_amount_paid"),
+        "price_relationship": three_way(F.col("actual_amount_paid"), F.col("plan_list_price"), "equal", "paid_below_list", "paid_above_list"),
+        "expiry_delta_days": days,
+        "has_negative_expiry_delta": days < 0,
+        "has_zero_expiry_delta": days == 0,
+        "has_long_expiry_delta": days > LONG_EXPIRY_DAYS,
+        "plan_expiry_relationship": three_way(days, F.col("payment_plan_days"), "equal", "expiry_shorter", "expiry_longer"),
+    }
+
+
+def transaction_columns(df: DataFrame) -> DataFrame:
+    return df.withColumns(derived_columns())
 
 
 def analytical_age(bd: Column) -> Column:
@@ -42,7 +47,7 @@ def analytical_age(bd: Column) -> Column:
 
 def age_quality(known: Column, bd: Column) -> Column:
     """First match wins; an unknown age of a known member would be the last case."""
-    return F.when(~known, "no_member_metadata").when(bd < 0, "negative").when(bd == 0, "zero_or_unknown").when(bd.between(*VALID_AGE), "valid_1_100").otherwise("above_100")
+    return F.when(~known, "no_member_metadata").when(bd < 0, "negative").when(bd == 0, "zero_or_unknown").when(bd.between(*VALID_AGE), "valid").otherwise("above_100")
 
 
 def month(d: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.derive import age_quality, analytical_age
+
 
 class ConstraintError(ValueError):
     def __init__(self, broken: dict[str, int]):
@@ -63,8 +65,36 @@ def user_checks(users: DataFrame) -> list[DataFrame]:
     return [not_unique(users, ["msno"], "user_unique"), rows_breaking(users, {"member_fields_go_together": (known & some) | (~known & none & F.col("gender").isNull())})]
 
 
-def churn_checks(churn: DataFrame, users: DataFrame, user: str = "user_key") -> list[DataFrame]:
-    return [not_unique(churn, [user, "expiry_cohort_month"], "user_and_cohort_unique"), not_unique(churn, ["source_file_key", "source_row_number"], "label_lineage_unique"), without_parent(churn, users, user, "user_known"), rows_breaking(churn, {"cohort_is_month_start": F.day("expiry_cohort_month") == 1})]
+def churn_checks(churn: DataFrame, users: DataFrame, user: str = "user_key", cohorts: dict[str, str] | None = None) -> list[DataFrame]:
+    """cohorts: the month that each source of labels is of."""
+    rules = {"cohort_is_month_start": F.day("expiry_cohort_month") == 1, "row_number_positive": F.col("source_row_number") > 0}
+    if cohorts:
+        fits = F.lit(False)
+        for name, month in cohorts.items():
+            fits = fits | ((F.col("label_source") == name) & (F.col("expiry_cohort_month") == F.lit(month).cast("date")))
+        rules["cohort_of_its_file"] = F.coalesce(fits, F.lit(False))
+    return [not_unique(churn, [user, "expiry_cohort_month"], "user_and_cohort_unique"), not_unique(churn, ["source_file_key", "source_row_number"], "label_lineage_unique"), without_parent(churn, users, user, "user_known"), rows_breaking(churn, rules)]
+
+
+MEMBER = ["city_code", "gender", "registered_via_code", "registration_init_date", "bd_raw"]
+
+
+def layer_checks(users: DataFrame, churn: DataFrame, fact: DataFrame, members: DataFrame, labels: DataFrame, transactions: DataFrame) -> list[DataFrame]:
+    """What the canonical layer must have kept of its sources."""
+    known = members.select(F.col("msno").alias("_m"), *[F.col(c).alias(f"_{c}") for c in MEMBER])
+    both = users.join(known, F.col("msno") == F.col("_m"), "left")
+    same = F.col("has_member_metadata").eqNullSafe(F.col("_m").isNotNull())
+    for c in MEMBER:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    age = F.col("analytical_age").eqNullSafe(analytical_age(F.col("bd_raw"))) & F.col("age_quality").eqNullSafe(age_quality(F.col("has_member_metadata"), F.col("bd_raw")))
+    lineage = ["source_file_key", "source_row_number", "msno", "is_churn", "expiry_cohort_month"]
+    count = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sources = members.select("msno").union(labels.select("msno").distinct()).union(transactions.select("msno").distinct()).distinct()
+    return [
+        same_rows(users.select("msno"), sources, "universe"), rows_breaking(both, {"enrichment": same, "age": age}), same_rows(churn.select(*lineage), labels.select(*lineage), "lineage"),
+        same_rows(count(churn, "expiry_cohort_month", "is_churn"), count(labels, "expiry_cohort_month", "is_churn"), "label_counts"),
+        same_rows(count(fact, "source_file_key"), count(transactions, "source_file_key"), "transaction_counts"), forbidden({"users": users, "churn": churn, "fact": fact}),
+    ]
 
 
 def same_rows(found: DataFrame, expected: DataFrame, rule: str) -> DataFrame:
@@ -73,5 +103,21 @@ def same_rows(found: DataFrame, expected: DataFrame, rule: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(rule).alias("rule"), "row_count")
 
 
-def forbidden_columns(df: DataFrame, words: tuple[str, ...] = ("revenue", "mrr", "arpu", "ltv")) -> list[str]:
-    return [c for c in df.columns if any(w in c.lower() for w in words)]
+# Names that no column of the layer may have, and per table.
+FORBIDDEN, FORBIDDEN_IN = ("revenue", "mrr", "arpu", "ltv"), {"users": ("is_churn",), "churn": ("churn_date",)}
+
+
+def forbidden_columns(tables: dict[str, DataFrame]) -> list[str]:
+    return [f"{t}.{c}" for t, df in tables.items() for c in df.columns if c.lower() in FORBIDDEN or c in FORBIDDEN_IN.get(t, ())]
+
+
+def forbidden(tables: dict[str, DataFrame]) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession
+    return spark.range(1).select(F.lit("no_forbidden_column").alias("rule"), F.lit(len(forbidden_columns(tables))).cast("long").alias("row_count"))
+
+
+def catalog_checks(spark, columns: dict[str, list[tuple[str, str]]], found: dict[str, DataFrame]) -> DataFrame:
+    """rule, row_count: tables that are not there, and columns that are missing or of another type."""
+    missing = [t for t in columns if t not in found]
+    wrong = [(t, c) for t, want in columns.items() if t in found for c, kind in want if dict(found[t].dtypes).get(c) != kind]
+    return spark.createDataFrame([("table_exists", len(missing)), ("column_as_declared", len(wrong))], "rule string, row_count long")

@@ -12,7 +12,6 @@ def n_if(cond: Column | str) -> Column:
     return F.count_if(F.expr(cond) if isinstance(cond, str) else cond)
 
 
-
 def rows() -> Column:
     return F.count(F.lit(1))
 
@@ -46,16 +45,24 @@ def anomaly_summary(t: DataFrame) -> DataFrame:
     )
 
 
+def by_user(t: DataFrame, scope: str, name: str, counts: dict[str, Column], label: str, whole: str) -> DataFrame:
+    """Counts by ``scope`` and over all, with the users of each.  Rows are counted by scope and user first, so users are
+    counted from far fewer rows, and the same rows serve both."""
+    each = t.groupBy(scope, "msno").agg(*[c.alias(k) for k, c in counts.items()])
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts]
+    parts = each.groupBy(scope).agg(F.lit(label).alias(name), *sums, rows().alias("users"))
+    users = each.groupBy("msno").agg(*sums).agg(F.lit(whole).alias(name), *sums, rows().alias("users"))
+    return parts.unionByName(users, allowMissingColumns=True)
+
+
 def transaction_activity(t: DataFrame) -> DataFrame:
-    """By month and over all time in one scan."""
-    df = t.select(d.month(F.col("transaction_date")).alias("transaction_month"), "msno", "is_auto_renew", "is_cancel")
-    df = df.groupingSets([["transaction_month"], []], "transaction_month").agg(
-        F.when(F.grouping("transaction_month") == 1, "all_time").otherwise("month").alias("period_grain"), rows().alias("transaction_records"),
-        F.count_distinct("msno").alias("unique_transacting_users"), n_if("is_auto_renew").alias("auto_renew_records"), n_if("is_cancel").alias("cancellation_records"),
-    )
+    """By month and over all time."""
+    t = t.select(d.month(F.col("transaction_date")).alias("transaction_month"), "msno", "is_auto_renew", "is_cancel")
+    counts = {"transaction_records": rows(), "auto_renew_records": n_if("is_auto_renew"), "cancellation_records": n_if("is_cancel")}
+    df = by_user(t, "transaction_month", "period_grain", counts, "month", "all_time")
     share = lambda c: d.rate(F.col(c), F.col("transaction_records"))
     return df.select(
-        "period_grain", "transaction_month", "transaction_records", "unique_transacting_users", "auto_renew_records",
+        "period_grain", "transaction_month", "transaction_records", F.col("users").alias("unique_transacting_users"), "auto_renew_records",
         share("auto_renew_records").alias("auto_renew_record_rate"), "cancellation_records", share("cancellation_records").alias("cancellation_record_rate"),
     )
 
@@ -160,16 +167,17 @@ def segments() -> dict[str, tuple[str, Column, Column | None]]:
 
 
 def source_scope(t: DataFrame) -> DataFrame:
-    """By source file and over all files in one scan."""
-    df = t.groupingSets([["source_file"], []], "source_file").agg(
-        rows().alias("transaction_records"), F.count_distinct("msno").alias("distinct_transacting_users"), n_if("is_auto_renew").alias("auto_renew_records"), n_if("is_cancel").alias("cancellation_records"),
-        n_if("has_negative_expiry_delta").alias("negative_expiry_records"), n_if("has_zero_expiry_delta").alias("zero_expiry_records"), n_if("has_long_expiry_delta").alias("over_730_day_expiry_records"),
-        n_if("price_relationship = 'paid_below_list'").alias("paid_below_list_records"), n_if("price_relationship = 'paid_above_list'").alias("paid_above_list_records"),
-        n_if("actual_amount_paid = 0").alias("zero_actual_payment_records"),
-    )
+    """By source file and over all files."""
+    counts = {
+        "transaction_records": rows(), "auto_renew_records": n_if("is_auto_renew"), "cancellation_records": n_if("is_cancel"),
+        "negative_expiry_records": n_if("has_negative_expiry_delta"), "zero_expiry_records": n_if("has_zero_expiry_delta"), "over_730_day_expiry_records": n_if("has_long_expiry_delta"),
+        "paid_below_list_records": n_if("price_relationship = 'paid_below_list'"), "paid_above_list_records": n_if("price_relationship = 'paid_above_list'"),
+        "zero_actual_payment_records": n_if("actual_amount_paid = 0"),
+    }
+    df = by_user(t, "source_file", "_all", counts, "", "all_sources").withColumnRenamed("users", "distinct_transacting_users")
     pct = {"auto_renew_record_pct": "auto_renew_records", "cancellation_record_pct": "cancellation_records", "negative_expiry_pct": "negative_expiry_records", "zero_expiry_pct": "zero_expiry_records", "over_730_day_expiry_pct": "over_730_day_expiry_records"}
     df = df.withColumns({k: d.percent(F.col(v), F.col("transaction_records")) for k, v in pct.items()})
-    return df.withColumn("source_scope", F.coalesce("source_file", F.lit("all_sources"))).drop("source_file")
+    return df.withColumn("source_scope", F.coalesce("source_file", "_all")).drop("source_file", "_all")
 
 
 def monthly_combined(t: DataFrame) -> DataFrame:

@@ -96,12 +96,12 @@ members AS (
     CAST(DATE '2004-03-26' + CAST(c_custkey % 4000 AS INTEGER) AS DATE) AS registration_init_date
   FROM customer WHERE c_custkey % 16 <> 0),
 labels AS (
-  SELECT 'u' || c_custkey AS msno, DATE '2001-02-01' AS cohort, (c_custkey * 7) % 16 = 1 AS is_churn, 2 AS file FROM customer WHERE c_custkey % 10 <> 0
+  SELECT 'u' || c_custkey AS msno, DATE '2001-02-01' AS cohort, (c_custkey * 7) % 16 = 1 AS is_churn, 2 AS file, c_custkey AS line FROM customer WHERE c_custkey % 10 <> 0
   UNION ALL
-  SELECT 'u' || c_custkey, DATE '2001-03-01', (c_custkey * 5) % 11 = 2, 3 FROM customer WHERE c_custkey % 11 <> 0),
+  SELECT 'u' || c_custkey, DATE '2001-03-01', (c_custkey * 5) % 11 = 2, 3, c_custkey FROM customer WHERE c_custkey % 11 <> 0),
 raw_tx AS (
   SELECT CASE WHEN o_orderdate < TIMESTAMP '2001-03-01' AND o_orderkey % 12 <> 0 THEN 'transactions_original' ELSE 'transactions_v2' END AS source_file,
-    'u' || o_custkey AS msno, l_linenumber AS payment_method_id,
+    'u' || o_custkey AS msno, l_orderkey * 8 + l_linenumber AS line, l_linenumber AS payment_method_id,
     CASE WHEN l_quantity = 50 THEN 0 WHEN l_quantity = 49 THEN 410 ELSE CAST(l_quantity AS INTEGER) END AS plan_days,
     CAST(round(l_extendedprice * 100) AS BIGINT) AS listed,
     (CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT))) // 10000 AS paid,
@@ -123,6 +123,6 @@ logs AS (
 users AS (
   SELECT u.msno, m.msno IS NOT NULL AS known, m.city_code, m.gender, m.registered_via_code, m.registration_init_date, m.bd_raw,
     CASE WHEN m.bd_raw BETWEEN 1 AND 100 THEN CAST(m.bd_raw AS SMALLINT) END AS age,
-    CASE WHEN m.msno IS NULL THEN 'no_member_metadata' WHEN m.bd_raw < 0 THEN 'negative' WHEN m.bd_raw = 0 THEN 'zero_or_unknown' WHEN m.bd_raw <= 100 THEN 'valid_1_100' ELSE 'above_100' END AS quality
+    CASE WHEN m.msno IS NULL THEN 'no_member_metadata' WHEN m.bd_raw < 0 THEN 'negative' WHEN m.bd_raw = 0 THEN 'zero_or_unknown' WHEN m.bd_raw <= 100 THEN 'valid' ELSE 'above_100' END AS quality
   FROM (SELECT msno FROM members UNION SELECT msno FROM labels UNION SELECT msno FROM tx) u LEFT JOIN members m USING (msno))
 """

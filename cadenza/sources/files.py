@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import os
 from datetime import UTC, datetime
@@ -26,18 +25,29 @@ SAMPLE_ROWS, MAX_SAMPLE_ROWS = 10_000, 100_000
 MANIFEST = "source_file_key long, file_name string, relative_path string, file_size_bytes long, row_count long, file_modified_at timestamp, sha256 string, registered_at timestamp, notes string"
 
 
-def check_header(path: str, expected: list[str], ordered: bool = True) -> list[str]:
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        found = next(csv.reader(f), [])
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the first line, read by Spark, so from wherever it reads; a byte order mark is no part of a name."""
+    found = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    return [c.lstrip("\ufeff").strip('"') if k == 0 else c for k, c in enumerate(found)]
+
+
+def check_header(spark: SparkSession, path: str, expected: list[str], ordered: bool = True) -> list[str]:
+    found = header_of(spark, path)
     if (found != expected) if ordered else (sorted(found) != sorted(expected)):
         raise ValueError(f"{path}: header is {found}, not {expected}")
     return found
 
 
+def resolved(names: list[str], folder: str, known: dict[str, str] | None = None) -> list[str]:
+    """Sources given by a name that ``known`` has, by a file name in the folder, or by a path of their own."""
+    known = known or {}
+    return [known.get(x) or (x if "/" in x else f"{folder.rstrip('/')}/{x}") for x in names]
+
+
 def read_text(spark: SparkSession, path: str, kind: str, strict: bool = False, ordered: bool = True) -> DataFrame:
     """All columns as text, and _malformed: the whole line of a row that has another number of fields, else null.
     strict: such a row fails the read instead."""
-    header = check_header(path, HEADERS[kind], ordered)
+    header = check_header(spark, path, HEADERS[kind], ordered)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ([*header] if strict else [*header, MALFORMED])])
     read = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     return (read if strict else read.option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)).csv(path)
@@ -107,15 +117,24 @@ def sample(spark: SparkSession, path: str, n: int = SAMPLE_ROWS) -> DataFrame:
     if not 1 <= n <= MAX_SAMPLE_ROWS:
         raise ValueError(f"1 to {MAX_SAMPLE_ROWS} rows")
     text = spark.read.option("header", True).csv(path).limit(n)
-    first = text.first()
-    if first is None:
+    some = lambda c, kind: F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` AS {kind})").isNull())
+    names = text.columns
+    if not names:
+        return text
+    counts = text.agg(F.count(F.lit(1)), *[x for c in names for x in (some(c, "BIGINT"), some(c, "DOUBLE"))]).first()
+    if not counts[0]:
         return text
-    best = {}
-    for c in text.columns:  # a number where all that is there is one
-        some = F.col(c).isNotNull()
-        whole, real = text.agg(F.count_if(some & F.expr(f"try_cast(`{c}` AS BIGINT)").isNull()), F.count_if(some & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull())).first()
-        best[c] = "bigint" if not whole else "double" if not real else "string"
-    return text.select(*[F.col(c).cast(k).alias(c) for c, k in best.items()])
+    best = {c: "bigint" if not counts[1 + 2 * k] else "double" if not counts[2 + 2 * k] else "string" for k, c in enumerate(names)}
+    return text.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in best.items()])  # a number where all that is there is one
+
+
+def sample_report(spark: SparkSession, path: str, n: int = SAMPLE_ROWS) -> DataFrame:
+    """A row for each column: place, name, type in the sample, empty values, rows of the sample, and the file's bytes."""
+    rows = sample(spark, path, n)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # of the listing; contents stay unread
+    empty = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{k}") for k, c in enumerate(rows.columns)]).first()
+    found = [(k, f.name, f.dataType.simpleString(), empty[k + 1], empty[0], size) for k, f in enumerate(rows.schema.fields)]
+    return spark.createDataFrame(found, "position int, name string, type string, empty_rows long, sampled_rows long, file_size_bytes long")
 
 
 # ---- fingerprints and manifest
@@ -162,6 +181,36 @@ def register(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return manifest.select(*names).unionByName(manifest.sparkSession.createDataFrame(full, MANIFEST))
 
 
+def registered_once(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """rule, row_count: files of which the manifest has not exactly one entry (path, size, hash and rows)."""
+    known = [c for c in ("relative_path", "file_size_bytes", "sha256", "row_count") if c in found.columns]
+    cond = F.lit(True)
+    for c in known:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    n = found.select(*known).distinct().alias("a").join(manifest.alias("b"), cond, "left").groupBy(*[F.col(f"a.{c}") for c in known]).agg(F.count("b.source_file_key").alias("n"))
+    return n.agg(F.count_if(F.col("n") != 1).alias("row_count")).select(F.lit("registered_once").alias("rule"), "row_count")
+
+
+def gate_checks(cache: DataFrame, expected: DataFrame, listing: DataFrame) -> DataFrame:
+    """rule, row_count: what keeps fingerprints from being used.  cache: the manifest's columns, file_modified_at as text with
+    its zone, and file_modified_ns; expected: file_name, relative_path, file_size_bytes, row_count of every file that may be
+    there; listing: relative_path, file_size_bytes, file_modified_ns as they are now."""
+    want = expected.select("file_name", *[F.col(c).alias(f"w_{c}") for c in ("relative_path", "file_size_bytes", "row_count")])
+    now = listing.select("relative_path", F.col("file_size_bytes").alias("n_size"), F.col("file_modified_ns").alias("n_ns"))
+    df = cache.join(want, "file_name", "full").join(now, "relative_path", "left")
+    cached, allowed = F.col("sha256").isNotNull() | F.col("file_size_bytes").isNotNull(), F.col("w_relative_path").isNotNull()
+    both = cached & allowed
+    no = lambda c: F.count_if(both & ~F.coalesce(c, F.lit(False)))
+    rules = {
+        "file_allowed": F.count_if(cached & ~allowed), "file_there": F.count_if(allowed & ~cached), "path_as_verified": no(F.col("relative_path") == F.col("w_relative_path")),
+        "size_as_verified": no(F.col("file_size_bytes") == F.col("w_file_size_bytes")), "rows_as_verified": no(F.col("row_count") == F.col("w_row_count")),
+        "sha256_is_lowercase_hex": no(F.col("sha256").rlike(r"\A[0-9a-f]{64}\z")), "time_has_a_zone": no(F.col("file_modified_at").rlike(r"([+-][0-9]{2}:?[0-9]{2}|Z)\z")),
+        "size_not_stale": no(F.col("file_size_bytes") == F.col("n_size")), "time_not_stale": no(F.col("file_modified_ns") == F.col("n_ns")),
+    }
+    n = df.agg(*[c.alias(k) for k, c in rules.items()])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("row_count")) for k in rules])).alias("x")).select("x.*")
+
+
 # ---- sinks
 
 LINEAGE = ["source_file_key", "source_row_number"]

@@ -70,6 +70,34 @@ def test_failed_run_can_be_resumed(spark, logs, tmp_path, monkeypatch):
     assert A.run(spark, logs, str(tmp_path / "out"), resume=True)["status"] == "complete"
 
 
+def test_resume_reads_only_the_sources_that_were_not_complete(spark, logs, tmp_path, monkeypatch):
+    out, seen, source = str(tmp_path / "out"), [], A._source
+
+    def failing(spark, path, *rest):
+        seen.append(path)
+        if len(seen) == 2:
+            raise OSError("lost")
+        return source(spark, path, *rest)
+
+    with monkeypatch.context() as x:
+        x.setattr(A, "_source", failing)
+        with pytest.raises(OSError, match="lost"):
+            A.run(spark, logs, out)
+        old = json.loads((tmp_path / "out/manifest.json").read_text())
+        assert old["status"] == "failed" and {k: v["status"] for k, v in old["sources"].items()} == {"user_logs.csv": "complete", "user_logs_v2.csv": "in_progress"}
+        m = A.run(spark, logs, out, resume=True)
+    assert seen == [logs[0], logs[1], logs[1]] and m["status"] == "complete" and m["reconciliation"]["source_record_count"] == 8
+    assert m["sources"]["user_logs.csv"]["invalid_reasons"]["malformed_csv_row"] == 1 and not (tmp_path / "out/partials").exists()
+    again = A.run(spark, logs, str(tmp_path / "kept"), keep_partials=True)
+    assert (tmp_path / "kept/partials").exists() and again["partitions"].keys() == m["partitions"].keys()
+
+
+def test_sources_by_name_or_path():
+    from cadenza.sources.files import resolved
+
+    assert resolved(["a.csv", "x/b.csv", "logs"], "/raw/", {"logs": "/raw/user_logs.csv"}) == ["/raw/a.csv", "x/b.csv", "/raw/user_logs.csv"]
+
+
 def test_stream_takes_each_file_once(spark, logs, tmp_path):
     import os
     import shutil
@@ -80,6 +108,10 @@ def test_stream_takes_each_file_once(spark, logs, tmp_path):
     assert A.run_stream(*args).count() == 3
     shutil.copy(logs[1], tmp_path / "in")
     assert A.run_stream(*args).count() == 5 and A.run_stream(*args).agg(F.sum("source_record_count")).first()[0] == 8
+    assert {r["reason"]: r["row_count"] for r in A.stream_reasons(spark, args[2]).collect()} == dict.fromkeys(["empty_msno", "invalid_date", "invalid_num_25", "invalid_total_secs", "malformed_csv_row"], 1)
+    (tmp_path / "in/late.csv").write_text(HEAD + "u1,20170101,1,1,1,1,1,1,1\n")  # a month that was there
+    days = {(r["msno"], str(r["activity_date"])): r["num_25"] for r in A.run_stream(*args).collect()}
+    assert len(days) == 5 and days["u1", "2017-01-01"] == 112 and days["u1", "2017-03-01"] == 3
 
 
 @pytest.mark.parametrize(
@@ -106,7 +138,7 @@ def test_restart_and_lock(spark, logs, tmp_path):
     (out / "mine.txt").write_text("stays")
     assert A.run(spark, logs[1:], str(out), restart=True)["reconciliation"]["source_record_count"] == 3
     assert (out / "mine.txt").exists() and not (out / ".lock").exists()
-    with A.lock(str(out / ".lock")), pytest.raises(RuntimeError, match="another run"):
+    with A.Store(spark).lock(str(out / ".lock"), "me"), pytest.raises(RuntimeError, match="another run"):
         A.run(spark, logs, str(out), restart=True)
 
 
