@@ -855,6 +855,234 @@ def _(t):
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"), F.sum("total_secs").cast("decimal(38,2)").alias("total_secs"))
 
 
+def csv_folder(t: Tables, name: str, rows: DataFrame) -> str:
+    path = scratch(t, name)
+    rows.write.option("header", True).csv(path)
+    return path
+
+
+def flag(c: str):
+    return F.col(c).cast("int").cast("string").alias(c)
+
+
+def day_text(c: str, name: str | None = None):
+    return F.date_format(c, "yyyyMMdd").alias(name or c)
+
+
+TX_TEXT = ["msno", "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid"]
+
+
+def tx_text(t: Tables) -> DataFrame:
+    """Transactions as the source has them, with the number of their line. Prices that an integer cannot hold are cut to one."""
+    rows = t.tx.withColumns({c: F.least(F.col(c), F.lit(2000000000)) for c in ("plan_list_price", "actual_amount_paid")})
+    return rows.select(*TX_TEXT, flag("is_auto_renew"), day_text("transaction_date"), day_text("membership_expire_date"), flag("is_cancel"), "source_row_number")
+
+
+@query("src01_transactions_csv", "SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS least_row, count(*) AS greatest_row, count(*) AS different_rows, count(DISTINCT msno) AS users, CAST(sum(listed) AS BIGINT) AS listed, CAST(sum(paid) AS BIGINT) AS paid, count(*) FILTER (WHERE renew) AS renew, count(*) FILTER (WHERE price_rel = 'equal') AS equal, count(*) FILTER (WHERE plan_rel = 'expiry_longer') AS longer, min(tx) AS first_day, max(expire) AS last_expiry FROM tx")
+def _(t):
+    from cadenza.sources.files import load
+
+    rows = load(t.spark, csv_folder(t, "transactions", tx_text(t).drop("source_row_number")), "transactions", 4)
+    n = F.col("source_row_number")
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.min(n).alias("least_row"), F.max(n).alias("greatest_row"), F.count_distinct(n).alias("different_rows"), F.count_distinct("msno").alias("users"), F.sum("plan_list_price").alias("listed"), F.sum("actual_amount_paid").alias("paid"),
+        F.count_if("is_auto_renew").alias("renew"), views.n_if("price_relationship = 'equal'").alias("equal"), views.n_if("plan_expiry_relationship = 'expiry_longer'").alias("longer"), F.min("transaction_date").alias("first_day"), F.max("membership_expire_date").alias("last_expiry"),
+    )
+
+
+@query("src02_prj19_members_csv", "SELECT gender, count(*) AS row_count, CAST(sum(bd_raw) AS BIGINT) AS bd, count(DISTINCT city_code) AS cities, min(registration_init_date) AS first_day, max(registration_init_date) AS last_day FROM members GROUP BY 1")
+def _(t):
+    from cadenza.sources.files import load
+
+    text = t.members.select("msno", F.col("city_code").alias("city"), F.col("bd_raw").alias("bd"), F.coalesce("gender", F.lit("")).alias("gender"), F.col("registered_via_code").alias("registered_via"), day_text("registration_init_date", "registration_init_time"))
+    rows = load(t.spark, csv_folder(t, "members", text), "members", 1)
+    return rows.groupBy("gender").agg(F.count(F.lit(1)).alias("row_count"), F.sum("bd_raw").alias("bd"), F.count_distinct("city_code").alias("cities"), F.min("registration_init_date").alias("first_day"), F.max("registration_init_date").alias("last_day"))
+
+
+@query("src03_labels_csv", "SELECT cohort AS expiry_cohort_month, is_churn, file AS source_file_key, count(*) AS row_count, count(DISTINCT msno) AS users FROM labels GROUP BY ALL")
+def _(t):
+    from cadenza.sources.files import load
+
+    out = None
+    for key, cohort in ((2, COHORTS[0]), (3, COHORTS[1])):
+        text = t.labels.where(F.col("source_file_key") == key).select("msno", flag("is_churn"))
+        x = load(t.spark, csv_folder(t, "labels", text), "labels", key, cohort)
+        out = x if out is None else out.union(x)
+    return out.groupBy("expiry_cohort_month", "is_churn", F.col("source_file_key").cast("int").alias("source_file_key")).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("msno").alias("users"))
+
+
+@query("src08_sample", "SELECT CAST(p AS INTEGER) AS position, name, type, CASE WHEN name = 'gender' THEN (SELECT count(*) FILTER (WHERE gender IS NULL) FROM members) ELSE 0 END AS empty_rows, (SELECT count(*) FROM members) AS sampled_rows, true AS has_bytes FROM (VALUES (0, 'msno', 'string'), (1, 'bd', 'bigint'), (2, 'gender', 'string'), (3, 'day', 'bigint'), (4, 'half', 'double')) t(p, name, type)")
+def _(t):
+    from cadenza.sources.files import MAX_SAMPLE_ROWS, sample_report
+
+    text = t.members.select("msno", F.col("bd_raw").alias("bd"), "gender", day_text("registration_init_date", "day"), (F.col("city_code") + 0.5).alias("half"))
+    return sample_report(t.spark, csv_folder(t, "sample", text), MAX_SAMPLE_ROWS).select("position", "name", "type", "empty_rows", "sampled_rows", (F.col("file_size_bytes") > 0).alias("has_bytes"))
+
+
+@query("chk11_load_gate", "SELECT rule, row_count FROM (SELECT 'msno_not_empty' AS rule, count(*) FILTER (WHERE line % 83 = 0) AS row_count FROM tx UNION ALL SELECT 'payment_plan_days_integer', count(*) FILTER (WHERE line % 89 = 0) FROM tx UNION ALL SELECT 'is_cancel_flag', count(*) FILTER (WHERE line % 97 = 0) FROM tx UNION ALL SELECT 'transaction_date_day', count(*) FILTER (WHERE line % 101 = 0) FROM tx) WHERE row_count > 0")
+def _(t):
+    from cadenza.sources.files import gate
+
+    n, c = F.col("source_row_number"), F.col
+    bad = tx_text(t).withColumns({"msno": F.when(n % 83 == 0, " ").otherwise(c("msno")), "payment_plan_days": F.when(n % 89 == 0, "3e1").otherwise(c("payment_plan_days").cast("string")), "is_cancel": F.when(n % 97 == 0, "2").otherwise(c("is_cancel")), "transaction_date": F.when(n % 101 == 0, "20170230").otherwise(c("transaction_date"))})
+    try:
+        gate(bad, "transactions")
+    except checks.ConstraintError as e:
+        return t.spark.createDataFrame(sorted(e.broken.items()), "rule string, row_count long")
+    return t.spark.createDataFrame([], "rule string, row_count long")
+
+
+SHA_A, SHA_B = "repeat('a', 64)", "repeat('b', 64)"
+FILES_HELD = f"('a.csv', 'raw/a.csv', 10, 3, {SHA_A}, '2026-01-01T00:00:00+00:00', 100), ('b.csv', 'raw/b.csv', 20, 4, upper({SHA_A}), '2026-01-01T00:00:00+00:00', 100), ('c.csv', 'other/c.csv', 30, 5, {SHA_B}, '2026-01-01T00:00:00', 100), ('d.csv', 'raw/d.csv', 41, 7, {SHA_B}, '2026-01-01T00:00:00Z', 99), ('x.csv', 'raw/x.csv', 1, 1, {SHA_B}, '2026-01-01T00:00:00Z', 100)"
+FILES_ALLOWED = "('a.csv', 'raw/a.csv', 10, 3), ('b.csv', 'raw/b.csv', 20, 4), ('c.csv', 'raw/c.csv', 30, 5), ('d.csv', 'raw/d.csv', 40, 6), ('e.csv', 'raw/e.csv', 50, 8)"
+FILES_NOW = "('raw/a.csv', 10, 100), ('raw/b.csv', 21, 100), ('other/c.csv', 30, 101), ('raw/d.csv', 41, 100)"
+HELD_COLUMNS, ALLOWED_COLUMNS, NOW_COLUMNS = "file_name, relative_path, file_size_bytes, row_count, sha256, file_modified_at, file_modified_ns", "file_name, relative_path, file_size_bytes, row_count", "relative_path, file_size_bytes, file_modified_ns"
+
+
+@query("chk12_fingerprint_gates", f"""WITH h AS (SELECT * FROM (VALUES {FILES_HELD}) v({HELD_COLUMNS})), w AS (SELECT * FROM (VALUES {FILES_ALLOWED}) v({ALLOWED_COLUMNS})), n AS (SELECT * FROM (VALUES {FILES_NOW}) v({NOW_COLUMNS})),
+  b AS (SELECT h.*, w.relative_path AS wp, w.file_size_bytes AS ws, w.row_count AS wr, n.file_size_bytes AS ns, n.file_modified_ns AS nn FROM h JOIN w USING (file_name) LEFT JOIN n ON n.relative_path = h.relative_path) """ + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS row_count FROM {x}" for k, x in {
+    "file_allowed": "h WHERE file_name NOT IN (SELECT file_name FROM w)", "file_there": "w WHERE file_name NOT IN (SELECT file_name FROM h)", "path_as_verified": "b WHERE relative_path <> wp", "size_as_verified": "b WHERE file_size_bytes <> ws", "rows_as_verified": "b WHERE row_count <> wr",
+    "sha256_is_lowercase_hex": "b WHERE NOT regexp_full_match(sha256, '[0-9a-f]{64}')", "time_has_a_zone": "b WHERE NOT regexp_matches(file_modified_at, '([+-][0-9]{2}:?[0-9]{2}|Z)$')", "size_not_stale": "b WHERE file_size_bytes IS DISTINCT FROM ns", "time_not_stale": "b WHERE file_modified_ns IS DISTINCT FROM nn"}.items()), base=False)
+def _(t):
+    from cadenza.sources.files import gate_checks
+
+    table = lambda rows, names: t.spark.sql(f"SELECT * FROM VALUES {rows} AS v({names})")
+    return gate_checks(table(FILES_HELD, HELD_COLUMNS), table(FILES_ALLOWED, ALLOWED_COLUMNS), table(FILES_NOW, NOW_COLUMNS))
+
+
+@query("snk05_registered_once", f"""WITH found AS (SELECT * FROM (VALUES ('raw/a.csv', 10, {SHA_A}), ('raw/b.csv', 20, {SHA_A}), ('raw/c.csv', 30, {SHA_B})) v(relative_path, file_size_bytes, sha256))
+  SELECT count(*) AS entries, CAST(0 AS BIGINT) AS not_once_after, count(*) AS greatest_key, (SELECT count(*) FROM found WHERE relative_path IN ('raw/b.csv', 'raw/c.csv')) AS not_once_before FROM found""", base=False)
+def _(t):
+    from cadenza.sources.files import MANIFEST as KIND
+    from cadenza.sources.files import register, registered_once
+
+    found = t.spark.sql(f"SELECT substring(relative_path, 5) AS file_name, * FROM VALUES ('raw/a.csv', 10L, {SHA_A}), ('raw/b.csv', 20L, {SHA_A}), ('raw/c.csv', 30L, {SHA_B}) AS v(relative_path, file_size_bytes, sha256)")
+    before = register(t.spark.createDataFrame([], KIND), found.where("relative_path = 'raw/a.csv'"))
+    after = register(register(before, found), found)
+    once = lambda m, n: registered_once(m, found).select(F.col("row_count").alias(n))
+    return after.agg(F.count(F.lit(1)).alias("entries"), F.max("source_file_key").alias("greatest_key")).crossJoin(once(after, "not_once_after")).crossJoin(once(before, "not_once_before"))
+
+
+@query("snk09_11_report", """SELECT * FROM (SELECT '| ' || cohort || ' | ' || count(*) || ' | ' || CASE file WHEN 2 THEN 'a &lt; b \\| c' ELSE '-' END || ' |' AS line FROM labels GROUP BY cohort, file
+  UNION ALL SELECT '| expiry_cohort_month | observation_count | note |' UNION ALL SELECT '| --- | --- | --- |' UNION ALL SELECT '# Labels' UNION ALL SELECT '## Cohorts' UNION ALL SELECT 'partial run published: false')""".replace("\\\\", "\\"))
+def _(t):
+    from cadenza.sources.publish import write_report
+    from cadenza.sources.store import Store
+
+    rows = views.cohort_summary(t.churn).select("expiry_cohort_month", "observation_count", F.when(F.col("expiry_cohort_month") == F.lit(COHORTS[0]).cast("date"), "a < b | c").alias("note"))
+    path = f"{scratch(t, 'report')}/labels.md"
+    write_report(t.spark, path, "Labels", {"Cohorts": rows}, ["feb", "mar"], ["feb", "mar"])
+    store = Store(t.spark)
+    whole = store.read(path)
+    write_report(t.spark, path, "Labels", {"Cohorts": rows.limit(1)}, ["feb"], ["feb", "mar"])  # some sources only
+    lines = [x for x in whole.split("\n") if x] + [f"partial run published: {str(store.read(path) != whole).lower()}"]
+    return t.spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("msc05_publish_together", "SELECT (SELECT count(*) FROM members) AS members, (SELECT count(*) FROM labels) AS labels, 'labels_empty' AS refused")
+def _(t):
+    from cadenza.sources.publish import publish, published
+
+    folder, refused = scratch(t, "published"), None
+
+    def check(tables):
+        if tables["labels"].isEmpty():
+            raise checks.ConstraintError({"labels_empty": 1})
+
+    publish({"members": t.members, "labels": t.labels}, folder, check)
+    try:  # then no table changes
+        publish({"members": t.members.limit(1), "labels": t.labels.limit(0)}, folder, check)
+    except checks.ConstraintError as e:
+        refused = next(iter(e.broken))
+    n = lambda name: published(t.spark, folder, name).agg(F.count(F.lit(1)).alias(name))
+    return n("members").crossJoin(n("labels")).withColumn("refused", F.lit(refused))
+
+
+@query("msc06_schemas", "SELECT * FROM (VALUES ('summary', false, 'made'), ('summary_view', false, 'made'), ('summary', false, 'made again')) v(name, temporary, moment)")
+def _(t):
+    import uuid
+
+    name, spark, seen = f"cadenza_{uuid.uuid4().hex[:12]}", t.spark, []
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+    try:
+        for moment in ("made", "made again"):
+            views.cohort_summary(t.churn).drop("churn_rate").write.mode("overwrite").saveAsTable(f"{name}.summary")
+            if moment == "made":
+                spark.sql(f"CREATE OR REPLACE VIEW {name}.summary_view AS SELECT * FROM {name}.summary")
+            seen += [(x.name, x.isTemporary, moment) for x in spark.catalog.listTables(name)]
+            spark.sql(f"DROP VIEW IF EXISTS {name}.summary_view")  # what hangs on the table goes first
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}.summary")
+        spark.sql(f"DROP SCHEMA IF EXISTS {name}")
+    return spark.createDataFrame(seen, "name string, temporary boolean, moment string")
+
+
+# What columns of the layer mean.
+COMMENTS = {"msno": "user of the source", "expiry_cohort_month": "first day of the month in which the subscription expires", "is_churn": "label of the source, not a fact about a date"}
+
+
+@query("msc07_comments", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x}')" for k, x in COMMENTS.items()) + ") v(name, comment)", base=False)
+def _(t):
+    from cadenza.sources.publish import commented, comments_of
+
+    path = scratch(t, "commented")
+    commented(t.churn.select("msno", "expiry_cohort_month", "is_churn", "label_source"), COMMENTS).limit(10).write.parquet(path)
+    return t.spark.createDataFrame(sorted(comments_of(t.spark.read.parquet(path)).items()), "name string, comment string")
+
+
+DECLARED = {"customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "bigint")], "orders": [("o_orderkey", "bigint"), ("o_missing", "string")], "nowhere": [("x", "int")]}
+IN_DUCK = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}
+
+
+@query("src15_declared_columns", "SELECT 'table_exists' AS rule, 3 - count(DISTINCT table_name) AS row_count FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'nowhere') UNION ALL SELECT 'column_as_declared', 5 - count(DISTINCT table_name || column_name) FROM information_schema.columns WHERE (table_name, column_name, data_type) IN (" + ", ".join(f"('{x}', '{c}', '{IN_DUCK[k]}')" for x, cs in DECLARED.items() for c, k in cs if x != "nowhere") + ")", base=False)
+def _(t):
+    from pyspark.errors import AnalysisException
+
+    found = {}
+    for name in DECLARED:
+        try:
+            found[name] = t.raw(name)
+        except AnalysisException:  # no such table
+            continue
+    return checks.catalog_checks(t.spark, DECLARED, found)
+
+
+LOGGED = "SELECT CASE WHEN event_id % 5 <> 0 THEN 'source_file=user_logs' ELSE 'source_file=user_logs_v2' END AS source, CASE event_id % 97 WHEN 1 THEN 'empty_msno' WHEN 2 THEN 'invalid_date' WHEN 3 THEN 'invalid_num_25' WHEN 4 THEN 'invalid_total_secs' WHEN 5 THEN 'out_of_range_total_secs' END AS r, user_id, CAST(ts AS DATE) AS day FROM events"
+
+
+@query("str02_05_resumed_run", f"""WITH e AS ({LOGGED}) SELECT source, 'complete' AS status, count(*) AS rows_read, count(*) FILTER (WHERE r IS NULL) AS valid_rows, count(*) FILTER (WHERE r IS NOT NULL) AS invalid_rows, count(*) FILTER (WHERE r = 'invalid_date') AS invalid_dates,
+  (SELECT count(*) FROM (SELECT DISTINCT user_id, day FROM e WHERE r IS NULL)) AS daily_rows, (SELECT count(*) FROM e WHERE r IS NULL) AS records, 'the configuration or a source file has changed since the run began' AS refused FROM e GROUP BY source""", base=False)
+def _(t):
+    folder = scratch(t, "run")
+    raw_logs(t).drop(activity.CORRUPT).write.partitionBy("source_file").option("header", True).csv(f"{folder}/in")
+    paths = [f"{folder}/in/source_file={x}" for x in ("user_logs", "user_logs_v2")]
+    activity.run(t.spark, paths, f"{folder}/out")
+    m, refused = activity.run(t.spark, paths, f"{folder}/out", resume=True), ""
+    try:
+        activity.run(t.spark, paths, f"{folder}/out", max_rows=5, resume=True)
+    except ValueError as e:
+        refused = str(e)
+    rows = [(k, x["status"], x["rows_read"], x["valid_rows"], x["invalid_rows"], x["invalid_reasons"].get("invalid_date", 0), m["reconciliation"]["daily_rows"], int(float(m["reconciliation"]["source_record_count"])), refused) for k, x in m["sources"].items()]
+    return t.spark.createDataFrame(rows, "source string, status string, rows_read long, valid_rows long, invalid_rows long, invalid_dates long, daily_rows long, records long, refused string")
+
+
+@query("str07_stream_reasons", f"WITH e AS ({LOGGED}) SELECT r AS reason, count(*) AS row_count FROM e WHERE r IS NOT NULL GROUP BY 1", base=False)
+def _(t):
+    folder = scratch(t, "stream")
+    raw_logs(t).drop("source_file", activity.CORRUPT).repartition(3).write.option("header", True).csv(f"{folder}/in")
+    activity.run_stream(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", 2)
+    return activity.stream_reasons(t.spark, f"{folder}/out")
+
+
+@query("snk08_order_in_files", "SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT msno || CAST(day AS VARCHAR)) AS daily_rows, CAST(0 AS BIGINT) AS out_of_order FROM logs GROUP BY 1")
+def _(t):
+    path = scratch(t, "ordered")
+    activity.write_daily(activity.daily(t.logs), path)
+    rows = t.spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "activity_date", "msno", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag(F.struct("activity_date", "msno")).over(Window.partitionBy("file").orderBy("at"))  # a month's rows of one user hash
+    return rows.withColumn("late", before > F.struct("activity_date", "msno")).groupBy("month").agg(F.count(F.lit(1)).alias("daily_rows"), F.count_if("late").alias("out_of_order"))
+
+
 @query("src06_projection", "SELECT DISTINCT msno FROM tx")
 def _(t):
     return t.fact.select("msno").distinct()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import derive as d
 from cadenza.operators import checks, profiling, sets
 from cadenza.plans import model, views
-from cadenza.sources import files
+from cadenza.sources import files, publish
+from cadenza.sources.store import Store
 
 DAY = datetime.date
 
@@ -130,6 +131,51 @@ def test_load_csv_with_lineage(spark, tmp_path):
         files.load(spark, str(p), "labels", 2, "2017-02-01")
 
 
+def test_strict_read_fails_on_a_row_of_another_length(spark, tmp_path):
+    head, p = ",".join(files.HEADERS["labels"]), tmp_path / "labels.csv"
+    p.write_text(head + "\nu1,1\nu2,0\n")
+    assert files.read_text(spark, str(p), "labels", strict=True).count() == 2
+    p.write_text(head + "\nu1,1\nu2,0,9\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        files.read_text(spark, str(p), "labels", strict=True).collect()
+    assert files.read_text(spark, str(p), "labels").where("_malformed is not null").count() == 1
+
+
+def test_members_and_transactions_from_csv(spark, tmp_path):
+    m, x = tmp_path / "members.csv", tmp_path / "transactions.csv"
+    m.write_text(",".join(files.HEADERS["members"]) + "\na,1,30,,7,20100101\nb,2,0,male,9,20110203\n")
+    assert [(r["msno"], r["gender"], r["source_row_number"]) for r in files.load(spark, str(m), "members", 1).collect()] == [("a", None, 1), ("b", "male", 2)]
+    x.write_text(",".join(files.HEADERS["transactions"]) + "\na,41,30,149,99,1,20170101,20170131,0\n")
+    assert [(r["price_difference"], r["expiry_delta_days"], r["is_cancel"]) for r in files.load(spark, str(x), "transactions", 4).collect()] == [(50, 30, False)]
+    x.write_text(",".join(files.HEADERS["transactions"]) + "\na,41,30,149,99,1,20170230,20170131,2\n")
+    with pytest.raises(checks.ConstraintError) as e:
+        files.load(spark, str(x), "transactions", 4)
+    assert e.value.broken == {"transaction_date_day": 1, "is_cancel_flag": 1}
+
+
+def test_a_version_that_fails_is_removed(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    publish.publish({"t": one}, str(tmp_path))
+    with pytest.raises(ValueError, match="no"):
+        publish.publish({"t": two}, str(tmp_path), lambda tables: (_ for _ in ()).throw(ValueError("no")))
+    assert publish.published(spark, str(tmp_path), "t").count() == 3 and len([x for x in tmp_path.iterdir() if x.name.startswith("v-")]) == 1
+    publish.publish({"t": two}, str(tmp_path), lambda tables: None)
+    assert publish.published(spark, str(tmp_path), "t").count() == 5
+    assert publish.markdown(spark.range(3), 2).endswith("more than 2 rows")
+
+
+def test_files_of_the_driver(spark, tmp_path):
+    store, p = Store(spark), str(tmp_path / "x.json")
+    store.write(p, "old")
+    store.write(p, "näu")
+    assert store.read(p) == "näu" and store.names(str(tmp_path)) == ["x.json"] and store.identity(p)[0] == 4
+    assert not store.create(p, "mine") and store.create(p + "2", "mine")
+    store.delete(p)
+    assert not store.exists(p)
+    with pytest.raises(FileNotFoundError):
+        store.identity(p)
+
+
 def test_fingerprints_and_register(spark, tmp_path):
     import hashlib
 
