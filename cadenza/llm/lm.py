@@ -266,37 +266,37 @@ def _reduce_after(key: tuple, table: pa.Table) -> pa.Table:
 class Filter:
     """All segments, by kind and bucket, and the exact counts of words."""
 
-    def __init__(self, rows: Iterator, buckets: int):
+    def __init__(self, rows: Iterator, buckets: int, blocks: int, n_words: int):
+        """blocks, n_words: of all segments and of all words, so that every array is made once, as large as it has to be."""
         self.buckets, self.place, self.size = buckets, np.zeros((3, buckets), dtype=np.uint64), np.zeros((3, buckets), dtype=np.uint64)
-        data, words, at = [], [], 0
+        self.data, words, at = np.empty(blocks, dtype="<u8"), [], 0
         for r in rows:
-            self.place[r["kind"], r["bucket"]], self.size[r["kind"], r["bucket"]] = at // 8, len(r["segment"]) // 8
-            at += len(r["segment"])
-            data.append(r["segment"])
+            part = np.frombuffer(r["segment"], dtype="<u8")
+            self.place[r["kind"], r["bucket"]], self.size[r["kind"], r["bucket"]] = at, len(part)
+            self.data[at : at + len(part)] = part
+            at += len(part)
             if r["kind"] == WORD:
                 words.append((r["bucket"], bytes(r["keys"]), bytes(r["counts"])))
-        self.data = b"".join(data)  # bytes: a pickled array would be held twice on loading
-        data.clear()
-        words.sort()  # buckets in order are keys in order
-        sizes = [len(_unpacked(k)) for _, k, _ in words]
-        self.n_words, at = sum(sizes), 0
-        keys, counts = np.empty(self.n_words, dtype="<u8"), np.empty(self.n_words, dtype="<i8")
-        for (_, k, c), n in zip(words, sizes, strict=True):
-            keys[at : at + n], counts[at : at + n] = _unpacked(k), _wide(c, n)
-            at += n
-        self.words, self.counts = keys.tobytes(), _narrow(counts)
+        words.sort(reverse=True)
+        self.words, self.counts, at = np.empty(n_words, dtype="<u8"), np.empty(n_words, dtype="<i8"), 0
+        while words:  # buckets in order are keys in order
+            _, k, c = words.pop()
+            keys = _unpacked(k)
+            self.words[at : at + len(keys)], self.counts[at : at + len(keys)] = keys, _wide(c, len(keys))
+            at += len(keys)
+        if n_words and self.counts.max() < 1 << 32:
+            self.counts = self.counts.astype("<u4")
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
         bucket = bucket_of(keys, self.buckets).astype(np.int64)
-        return levels(np.frombuffer(self.data, dtype="<u8"), keys, self.place[kind][bucket], self.size[kind][bucket])
+        return levels(self.data, keys, self.place[kind][bucket], self.size[kind][bucket])
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted words."""
-        if not self.n_words:
+        if not len(self.words):
             return np.zeros(len(keys), dtype=np.int64)
-        have, counts = np.frombuffer(self.words, dtype="<u8"), np.frombuffer(self.counts, dtype=f"<u{len(self.counts) // self.n_words}")
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, counts[at], 0).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
 
 
 # ---- scores
@@ -442,16 +442,21 @@ def _routed(docs: DataFrame, held: DataFrame, n: int, v: int, buckets: int) -> D
 @dataclass
 class Fit:
     """held: a row for each kind and bucket, with its segment and, of words, keys and exact counts; n: training tokens, v: the
-    different ones; size: bytes of the filter and of the exact counts."""
+    different ones; blocks: of the filter, 8 bytes each."""
 
     held: DataFrame
     n: int
     v: int
     buckets: int
-    size: int
+    blocks: int
+
+    @property
+    def size(self) -> int:
+        """Bytes of the filter and of the exact counts."""
+        return 8 * self.blocks + 12 * self.v
 
     def filter(self) -> Filter:
-        return Filter(self.held.toLocalIterator(), self.buckets)
+        return Filter(self.held.toLocalIterator(), self.buckets, self.blocks, self.v)
 
 
 def fitted(train: DataFrame, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> Fit:
@@ -465,7 +470,7 @@ def fitted(train: DataFrame, run_tokens: int = RUN_TOKENS, bucket_grams: int = B
     held = first.where("kind >= 0").unionByName(after)
     sums = {r["kind"]: r for r in held.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.sum(F.octet_length("segment")).alias("bytes")).collect()}
     n, v = (sums[WORD]["total"], sums[WORD]["grams"]) if sums else (0, 0)
-    return Fit(held.select("kind", "bucket", "segment", "keys", "counts"), n, v, buckets, sum(r["bytes"] for r in sums.values()) + 12 * v)
+    return Fit(held.select("kind", "bucket", "segment", "keys", "counts"), n, v, buckets, sum(r["bytes"] for r in sums.values()) // 8)
 
 
 def scored(docs: DataFrame, held_out=None, broadcast_bytes: int = BROADCAST_BYTES, run_tokens: int = RUN_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:

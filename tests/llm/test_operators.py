@@ -215,7 +215,8 @@ def test_filter_misses_no_count():
     keys = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
     keys.sort()
     counts = np.random.default_rng(4).geometric(0.02, 5000)
-    f = lm.Filter(iter([{"kind": lm.PAIR, "bucket": 0, "segment": lm.segment(keys, counts), "keys": None, "counts": None}]), 1)
+    bits = lm.segment(keys, counts)
+    f = lm.Filter(iter([{"kind": lm.PAIR, "bucket": 0, "segment": bits, "keys": None, "counts": None}]), 1, len(bits) // 8, 0)
     assert (f.level(lm.PAIR, keys) >= lm.level_of(counts)).all() and (f.level(lm.PAIR, keys) == lm.level_of(counts)).mean() > 0.9
     assert (f.level(lm.PAIR, lm.mix(keys)) == 0).mean() > 0.94
 
