@@ -1009,7 +1009,7 @@ def _(t):
             views.cohort_summary(t.churn).drop("churn_rate").write.mode("overwrite").saveAsTable(f"{name}.summary")
             if moment == "made":
                 spark.sql(f"CREATE OR REPLACE VIEW {name}.summary_view AS SELECT * FROM {name}.summary")
-            seen += [(x.name, x.isTemporary, moment) for x in spark.catalog.listTables(name)]
+            seen += [(x.name, x.isTemporary, moment) for x in spark.catalog.listTables(name) if x.namespace == [name]]  # temporary views of the session have none
             spark.sql(f"DROP VIEW IF EXISTS {name}.summary_view")  # what hangs on the table goes first
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}.summary")
