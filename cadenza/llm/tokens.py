@@ -7,7 +7,7 @@ document has an id, 2 = ids are 4 bytes wide, else 2), document id (8), ids.  Be
 for each record its offset, its length in all, and the document id (8 bytes each), for reads in any order.
 
 Texts are encoded word by word (runs without ASCII white space, which the tokenizer drops and never joins across): each
-worker keeps the ids of words it has met, and encodes only the others, in batches.
+worker keeps the ids of words it has met, and of their letters and signs, and encodes only the others, in batches.
 
 Scale: one range shuffle puts documents in order; each task writes one pair of files, through pyarrow's filesystems, into
 a folder that all executors share.  File names hold a random part, and only the files named by a task that succeeded
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import CHUNK_BYTES, kept, raw_text, shared_dir, text_batches
 
 END_ID = 2
-#: Words a worker remembers, about 250 bytes each.
-REMEMBERED = 600_000
+#: Words a worker remembers, and as many runs of letters or signs: about 350 bytes for one of each.
+REMEMBERED = 450_000
 MANIFEST = "part long, path string, index_path string, records long, ids long, bytes long"
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -63,8 +63,9 @@ def unframe(read) -> Iterator[bytes]:
         yield body[:n]
 
 
-#: Latin letters and some marks after them: one pre-token, or two with marks.
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|()]*)").fullmatch
+#: Latin letters and ASCII signs after them: a pre-token, or two with signs (an apostrophe may begin a contraction and is none).
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(f"([{_LETTERS}]+)([{_SIGNS}]*)").fullmatch
 _GROUP = 2000
 
 
@@ -86,6 +87,8 @@ class Encoder:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
         self.by_word = bool(mark)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.parted, self.lowers = self._habits() if mark else (False, False)
         self.remembered = remembered
 
     @classmethod
@@ -98,7 +101,7 @@ class Encoder:
         if not self.by_word:
             return self._plain(texts)
         words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space
-        new = set().union(*words) - self.known.keys()
+        new = set().union(*words).difference(self.known)
         known, found = self.known, self._unseen(new)
         known.update(found)
         get = known.__getitem__
@@ -108,27 +111,53 @@ class Encoder:
                 del known[w]
         return out
 
+    def _habits(self) -> tuple[bool, bool]:
+        """Whether signs after letters are a pre-token of their own, and whether letters count as lower case."""
+        every = [c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}{_SIGNS}]", c)]
+        letters, signs = "".join(c for c in every if c.isalpha()), "".join(c for c in every if not c.isalpha())
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        same = lambda t: normal.normalize_str(t) if normal else t
+        added = any(_SIMPLE(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        pieces = lambda t: len(cut.pre_tokenize_str(t)) if cut else 0
+        parted = not added and same(signs) == signs and all(pieces(f"{c}{s}") == pieces(f"{c}{s}{signs}") == 2 for c in "aé" for s in signs)
+        return parted, same(letters) == letters.lower()
+
     def _plain(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
     def _unseen(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Words of one or two pre-tokens go as one text of many words, cut again after every (second) word end."""
-        one, two, rest, out, width = [], [], [], {}, self.kind.itemsize
+        """The ids of a simple word are those of its letters, then those of its signs; each worker remembers both by themselves."""
+        split, rest, parts = [], [], self.parts
         for w in words:
-            m = _SIMPLE(w.decode("utf-8", "replace"))
-            (rest if m is None else two if m[1] else one).append(w)
-        for group, k in ((one, 1), (two, 2)):
-            for at in range(0, len(group), _GROUP):
-                some = group[at : at + _GROUP]
-                ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype=self.kind)
-                cut = np.flatnonzero(self.ends[ids])[k - 1 :: k] + 1
-                if len(cut) != len(some) or cut[-1] != len(ids):
-                    rest += some
-                    continue
+            m = _SIMPLE(w.decode("utf-8", "replace")) if self.parted else None
+            if m is None:
+                rest.append(w)
+            else:
+                split.append((w, m[1].lower() if self.lowers else m[1], m[2]))
+        found = self._together(list({x for _, x, _ in split}.difference(parts)))
+        signs = list({x for _, _, x in split}.difference(parts))
+        found.update(zip(signs, self._plain([x.encode() for x in signs]), strict=True))
+        parts.update(found)
+        out = {w: parts[a] + parts[b] for w, a, b in split}
+        out.update(zip(rest, self._plain(rest), strict=True))
+        if len(parts) > self.remembered:
+            for x in found:
+                del parts[x]
+        return out
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Words of one pre-token go as one text of many words, cut again after every word end."""
+        out, width = {}, self.kind.itemsize
+        for at in range(0, len(words), _GROUP):
+            some = words[at : at + _GROUP]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
                 raw, cut = ids.tobytes(), (cut * width).tolist()
                 out.update(zip(some, (raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
-        out.update(zip(rest, self._plain(rest), strict=True))
+            else:
+                out.update(zip(some, self._plain([w.encode() for w in some]), strict=True))
         return out
 
 
