@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,20 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._plain(texts)
-        words = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space
-        new = set().union(*words).difference(self.known)
-        known, found = self.known, self._unseen(new)
-        known.update(found)
-        get = known.__getitem__
-        out = [b"".join(map(get, x)) for x in words]
-        if len(known) > self.remembered:
-            for w in found:
-                del known[w]
-        return out
+        words, ends = [], [0]
+        for t in texts:
+            words += t.split()  # bytes.split() cuts at ASCII white space
+            ends.append(len(words))
+        known = self.known
+        ids = list(map(known.get, words))  # one look into the large dictionary for each word
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            found = self._unseen({words[k] for k in new})
+            for k in new:
+                ids[k] = found[words[k]]
+            if len(known) < self.remembered:
+                known.update(found)
+        return [b"".join(ids[a:b]) for a, b in pairwise(ends)]
 
     def _habits(self) -> tuple[bool, bool]:
         """Whether signs after letters are a pre-token of their own, and whether letters count as lower case."""
@@ -141,7 +146,7 @@ class Encoder:
         parts.update(found)
         out = {w: parts[a] + parts[b] for w, a, b in split}
         out.update(zip(rest, self._plain(rest), strict=True))
-        if len(parts) > self.remembered:
+        if len(parts) > self.remembered + len(found):  # it was full before
             for x in found:
                 del parts[x]
         return out
