@@ -664,6 +664,15 @@ def test_words_encode_as_texts_do(texts):
     assert e.encode([t.encode() for t in texts]) == e._plain([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("remembered", [0, 3, 1000])
+def test_words_that_are_forgotten(remembered):
+    e = tokens.Encoder(WORD_BPE, remembered)
+    assert e.parted and e.lowers
+    texts = ["Été été. ÉTÉ*** don't ab.%% 'll <|endoftext|>, ab", "", "ÿÞ÷ ×a a×! Ab ab' ab\u0301. \ufffd", "x" * 5000 + "!" * 5000] * 2
+    for t in [texts, texts[::-1], [texts[0]]]:
+        assert e.encode([x.encode() for x in t]) == e._plain([x.encode() for x in t])
+
+
 def test_damage_is_seen():
     import io
 
