@@ -112,11 +112,12 @@ def load(spark: SparkSession, path: str, kind: str, source_file_key: int, cohort
     return typed(gate(raw, kind), kind, source_file_key, cohort)
 
 
-def sample(spark: SparkSession, path: str, n: int = SAMPLE_ROWS) -> DataFrame:
-    """The first n rows, types inferred from those rows only."""
-    if not 1 <= n <= MAX_SAMPLE_ROWS:
-        raise ValueError(f"1 to {MAX_SAMPLE_ROWS} rows")
-    text = spark.read.option("header", True).csv(path).limit(n)
+def sample(spark: SparkSession, path: str, n: int | None = SAMPLE_ROWS) -> DataFrame:
+    """The first n rows, types inferred from those rows only; with None all rows, which stay in their splits."""
+    if n is not None and not 1 <= n <= MAX_SAMPLE_ROWS:
+        raise ValueError(f"1 to {MAX_SAMPLE_ROWS} rows, or None for all")
+    text = spark.read.option("header", True).csv(path)
+    text = text if n is None else text.limit(n)
     some = lambda c, kind: F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` AS {kind})").isNull())
     names = text.columns
     if not names:
@@ -128,8 +129,8 @@ def sample(spark: SparkSession, path: str, n: int = SAMPLE_ROWS) -> DataFrame:
     return text.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in best.items()])  # a number where all that is there is one
 
 
-def sample_report(spark: SparkSession, path: str, n: int = SAMPLE_ROWS) -> DataFrame:
-    """A row for each column: place, name, type in the sample, empty values, rows of the sample, and the file's bytes."""
+def sample_report(spark: SparkSession, path: str, n: int | None = SAMPLE_ROWS) -> DataFrame:
+    """A row for each column: place, name, type in the sample (with None: in the file), empty values, rows of the sample, and the file's bytes."""
     rows = sample(spark, path, n)
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # of the listing; contents stay unread
     empty = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{k}") for k, c in enumerate(rows.columns)]).first()

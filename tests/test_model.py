@@ -191,6 +191,25 @@ def test_fingerprints_and_register(spark, tmp_path):
     assert files.sample(spark, str(tmp_path / "x.csv"), 5).count() == 0
 
 
+def test_whole_file_is_reported_beyond_the_greatest_sample(spark, tmp_path):
+    n, p = files.MAX_SAMPLE_ROWS + 3, tmp_path / "x.csv"
+    p.write_text("a,b\n" + "".join(f"{k},{k % 2 or ''}\n" for k in range(n)) + "late,0.5\n")
+    found = [tuple(x)[:5] for x in files.sample_report(spark, str(p), None).orderBy("position").collect()]
+    assert found == [(0, "a", "string", 0, n + 1), (1, "b", "double", (n + 1) // 2, n + 1)]
+    with pytest.raises(ValueError, match="100000"):
+        files.sample(spark, str(p), n)
+
+
+def test_sample_query_counts_all_members(spark, tmp_path):
+    from cadenza import catalog
+
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    many = customers.crossJoin(spark.range(800)).withColumn("c_custkey", F.col("c_custkey") + F.col("id") * 1000).drop("id")
+    many.write.parquet(str(tmp_path / "customer.parquet"))
+    found = catalog.QUERIES["src08_sample"](spark, str(tmp_path)).collect()
+    assert {x["sampled_rows"] for x in found} == {catalog.Tables(spark, str(tmp_path)).members.count()} and found[0]["sampled_rows"] > files.MAX_SAMPLE_ROWS
+
+
 def test_sinks(spark):
     t = spark.sql("SELECT 1L AS source_file_key, 1L AS source_row_number, 'a' AS v")
     more = spark.sql("SELECT * FROM VALUES (1L, 1L, 'changed'), (1L, 2L, 'b') AS t(source_file_key, source_row_number, v)")
