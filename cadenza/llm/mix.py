@@ -7,15 +7,18 @@ schedule repeats after W slots, so W entries describe it at any size.  When the
 go on by their own weights from there (the next phase), until all rows are placed: phase 0 holds the target mixture,
 and no row is dropped.  Sources of weight 0 follow in equal shares when the others are used up.
 
-Beyond ``max_sources`` sources the plan has a place of its own for all of them but the last, first those of the greatest
-weight (where weights are given), then those with the most rows, then by name; all others are one pool.  The pool's weight
-is the sum of what its sources would have had, its rows come in one seeded random order, and no row is dropped.
+The schedule is the same at any number of sources and for any weights.  Up to ``MAX_SOURCES`` sources, with weights of sum
+up to ``MAX_WEIGHT_SUM``, it is a plan; beyond, it is a table of all blocks.  Only a caller who gives ``max_sources`` himself
+gets another mixture: a place of its own for as many sources but one, first those of the greatest weight (where weights are
+given), then those with the most rows, then by name, and one pool of all others.  The pool's weight is the sum of what its
+sources would have had, its rows come in one seeded random order, and no row is dropped.
 
-Scale: one pass counts rows by source, the plan (at most ``max_sources`` sources and as many phases, W at most
-``max_weight_sum``: checked) is made on the driver and joined by source; of more sources the counts stay a table, of which
-the driver sees the greatest and the sums; ranks inside sources are bucketed windows
-(``ranked``), so a source with a third of the rows is dealt like the rest; block, slot and position are arithmetic.  The
-random order looks at all columns of a row, so neither a source nor a repeated or null id makes a large bucket.
+Scale: one pass counts rows by source.  The plan (a period of W slots for each source and phase) is made on the driver and
+joined by source; ranks inside sources are bucketed windows (``ranked``), so a source with a third of the rows is dealt like
+the rest; block, slot and position are arithmetic.  The table of blocks (``slots``) is made on the driver too, slot by slot,
+or by whole periods where a phase has several, and written in pieces of ``AT_ONCE`` blocks; the driver holds numbers for
+each source and no names, and rows meet the table in a join by source and block.  The random order looks at all columns of a
+row, so neither a source nor a repeated or null id makes a large bucket.
 
 Defined cases: a null source is a source; a source without a weight has weight 0; repeated rows are rows, those that are
 equal in every column may change places; the last block of a source may be short; an empty table gives no rows; columns
@@ -27,14 +30,20 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SHUFFLE_RANGE, kept, ranked, shuffle_key, told_apart
+from cadenza.llm.common import SHUFFLE_RANGE, by_share, kept, ranked, shared_dir, shuffle_key, told_apart
 
-BLOCK_ROWS, SEED, MAX_SOURCES, MAX_WEIGHT_SUM = 16, 42, 1024, 4096
-#: Beyond the greatest number of sources: names are marked, so that none is that of the pool.
+BLOCK_ROWS, SEED, MAX_SOURCES, MAX_WEIGHT_SUM = 16, 42, 64, 4096
+#: Blocks of the table that the driver makes at once.
+AT_ONCE = 1 << 19
+#: Beyond the greatest number of sources: names are marked, so that none is that of the pool or of the null source.
 OWN, POOL = "=", "pool"
 PLAN = "array<struct<source:string,first:array<bigint>,base:array<bigint>,w:array<bigint>,period:array<bigint>,slots:array<array<bigint>>>>"
 
@@ -49,6 +58,12 @@ def _shares(parts: dict[str | None, float], total: int = 1000) -> dict[str | Non
     return {k: max(1, round(total * x / whole)) for k, x in parts.items()}
 
 
+def _tempered(counts: np.ndarray, alpha: float = 0.5, total: int = 1000) -> np.ndarray:
+    """The same for many sources."""
+    parts = counts.astype(np.float64) ** alpha
+    return np.maximum(1, np.rint(total * parts / parts.sum())).astype(np.int64)
+
+
 def edf(weights: list[int]) -> list[int]:
     """The source that runs in each of sum(weights) slots."""
     period, out = sum(weights), []
@@ -107,6 +122,80 @@ def slot_of(p: dict, block: int) -> int:
     return p["base"][k] + b // p["w"][k] * p["period"][k] + p["slots"][k][b % p["w"][k]]
 
 
+def slots(blocks: np.ndarray, weights: np.ndarray, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of source, block and phase of all slots, in their order, about ``at_once`` of them each time.
+
+    The same as ``plan``; ties of blocks due at one slot go by the number of the source.  In a phase first blocks of one weight
+    are due together, so of those that have not run only the first of each weight is looked at, and a phase costs no look
+    at each source."""
+    blocks, weights = np.asarray(blocks, dtype=np.int64), np.asarray(weights, dtype=np.int64)
+    left, ran, phase, out = array("q", blocks.tobytes()), array("q", bytes(8 * len(blocks))), 0, (array("q"), array("q"), array("q"))
+
+    def made(now: int) -> Iterator[tuple[np.ndarray, ...]]:
+        if len(out[0]) >= now:
+            yield tuple(np.array(x, dtype=np.int64) for x in out)
+            for x in out:
+                del x[:]
+
+    for among, w in ((weights > 0, weights), (weights <= 0, np.ones_like(weights))):
+        members = np.flatnonzero(among & (blocks > 0))
+        members = members[np.argsort(w[members], kind="stable")]
+        same = w[members[1:]] == w[members[:-1]]
+        after, before = np.full_like(blocks, -1), np.full_like(blocks, -1)
+        after[members[:-1][same]], before[members[1:][same]] = members[1:][same], members[:-1][same]
+        after, before, weight = (array("q", x.tobytes()) for x in (after, before, w))
+        heads = {weight[i]: i for i in members[np.r_[len(members) > 0, ~same][: len(members)]].tolist()}  # the first source of each weight
+        total = (int((w[members] >> 32).sum()) << 32) + int((w[members] & 0xFFFFFFFF).sum())
+        while heads:
+            first, again, later, t, begun = [(-(-total // x), i) for x, i in heads.items()], [], [], 0, len(out[0])
+            heapq.heapify(first)
+            while True:
+                while later and later[0][0] <= t:
+                    heapq.heappush(again, heapq.heappop(later)[1:])
+                if first and not (again and again[0] < (*first[0], 0)):
+                    (due, i), done = first[0], 1
+                    heapq.heapreplace(first, (due, after[i])) if after[i] >= 0 else heapq.heappop(first)
+                else:
+                    _, i, done = heapq.heappop(again)
+                for x, value in zip(out, (i, ran[i], phase), strict=True):
+                    x.append(value)
+                ran[i] += 1
+                left[i] -= 1
+                if not left[i]:  # used up: without it a new phase begins
+                    p, k, x = before[i], after[i], weight[i]
+                    if p >= 0:
+                        after[p] = k
+                    elif k >= 0:
+                        heads[x] = k
+                    else:
+                        del heads[x]
+                    if k >= 0:
+                        before[k] = p
+                    total, phase = total - x, phase + 1
+                    break
+                x, t = weight[i], t + 1
+                heapq.heappush(later, (done * total // x, -(-(done + 1) * total // x), i, done + 1))
+                if t == total <= at_once:  # a whole period: those that follow and use no source up are the same
+                    rest, at = np.array(left), members[np.array(left)[members] > 0]
+                    more = int(((rest[at] - 1) // w[at]).min())
+                    run, block = (np.array(x[begun:], dtype=np.int64) for x in out[:2])
+                    yield from made(1)
+                    step = max(1, at_once // total)
+                    for a in range(1, more + 1, step):
+                        k = min(step, more + 1 - a)
+                        further = (np.arange(a, a + k)[:, None] * w[run] + block).ravel()
+                        yield np.tile(run, k), further, np.full(k * total, phase, dtype=np.int64)
+                    rest[at] -= more * w[at]
+                    done_now = np.array(ran)
+                    done_now[at] += more * w[at]
+                    left, ran = array("q", rest.tobytes()), array("q", done_now.tobytes())
+                    break
+                if total > at_once:
+                    yield from made(at_once)
+            yield from made(at_once)
+    yield from made(1)
+
+
 def _literal(x, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(x)), kind)
 
@@ -134,19 +223,53 @@ def pooled(docs: DataFrame, weights: dict[str | None, int] | None, source: str,
     return counts, _shares(parts) if weights is None else own, [r["s"] for r in top]
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, key: str = "doc_id", source: str = "source", max_sources: int = MAX_SOURCES) -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str | None, int] | None, block_rows: int, seed: int, key: str, source: str, at_once: int = AT_ONCE) -> DataFrame:
+    """``mixed`` for any number of sources and any weights: the place of each block is looked up in a table of all blocks."""
+    spark, others = docs.sparkSession, told_apart(docs, key)
+    marked = lambda x: "" if x is None else OWN + x
+    label = F.coalesce(F.concat(F.lit(OWN), F.col(source).cast("string")), F.lit(""))
+    docs = docs.select(F.struct(*docs.columns).alias("row"), shuffle_key(seed, key, *others).alias("_h"), label.alias("_s"))
+    each = kept(docs.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")), "sources")
+    given = spark.range(1).select(F.inline(_literal([{"_s": marked(k), "_w": w} for k, w in (weights or {}).items()], "array<struct<_s:string,_w:bigint>>")))
+    each = each.join(F.broadcast(given), "_s", "left").orderBy("_s")  # a row for each given weight
+    each = kept(each.select(F.monotonically_increasing_id().alias("_k"), "_s", "_n", F.coalesce("_w", F.lit(0)).alias("_w")), "sources")
+    found = each.select("_k", "_n", "_w").toArrow()  # three numbers for each source
+    number, n, w = (found.column(c).to_numpy() for c in ("_k", "_n", "_w"))
+    order = np.argsort(number)
+    number, n, w = number[order], n[order], w[order]
+    if weights is None:
+        w = _tempered(n)
+    path, slot, position = shared_dir(spark, "blocks"), 0, 0
+    for i, b, phase in slots(-(-n // block_rows), w, at_once):
+        size = np.minimum(block_rows, n[i] - b * block_rows)
+        ends = position + np.cumsum(size)
+        made = pa.table({"_k": number[i], "_b": b, "mix_phase": phase.astype(np.int32), "mix_slot": slot + np.arange(len(i)), "_start": ends - size})
+        spark.createDataFrame(made).write.mode("append").parquet(path)
+        slot, position = slot + len(i), int(ends[-1])
+    places = spark.read.schema("_k long, _b long, mix_phase int, mix_slot long, _start long").parquet(path)
+    docs = by_share(docs, each.select("_s", "_k", "_n"), "_s", "_n", position).drop("_s")
+    df = ranked(docs, ["_k"], ["_h", *[F.col("row")[c] for c in (key, *others)]], F.col("_h") / F.lit(SHUFFLE_RANGE), "_r", position)
+    df = df.withColumn("_b", F.expr(f"_r div {block_rows}L")).join(places, ["_k", "_b"])
+    return df.select("row.*", "mix_phase", "mix_slot", F.expr(f"_start + _r % {block_rows}L").alias("mix_position"))
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, key: str = "doc_id", source: str = "source", max_sources: int | None = None) -> DataFrame:
     """docs with mix_phase int, mix_slot long (of the row's block) and mix_position long (0-based, gapless).
 
-    ``weights``: integers by source, of sum up to MAX_WEIGHT_SUM; by default in proportion to the root of its rows.
-    ``max_sources`` (2 at least, if there are more): places in the plan; the sources beyond share the last one."""
+    ``weights``: integers by source; by default in proportion to the root of its rows.
+    ``max_sources`` (2 at least, if there are more): strata, if the sources beyond shall share the last one (then weights are of
+    sum up to MAX_WEIGHT_SUM); by default each source has its own, however many there are."""
     spark = docs.sparkSession
     docs = docs.drop("mix_phase", "mix_slot", "mix_position")
-    counts, name, names = source_counts(docs, source, max_sources), F.col(source).cast("string"), None
+    most = max_sources or MAX_SOURCES
+    counts, name, names = source_counts(docs, source, most), F.col(source).cast("string"), None
     others = told_apart(docs, key)
+    if max_sources is None and (counts is None or sum((weights or {}).get(x, 0) for x in counts) > MAX_WEIGHT_SUM):
+        return scheduled(docs, weights, block_rows, seed, key, source)
     if counts is None:
-        counts, weights, names = pooled(docs, weights, source, max_sources)
+        counts, weights, names = pooled(docs, weights, source, most)
     weights = tempered(counts) if weights is None else weights
-    if sum(weights.get(x, 0) for x in counts) > MAX_WEIGHT_SUM + max_sources:
+    if sum(weights.get(x, 0) for x in counts) > MAX_WEIGHT_SUM + most:
         raise ValueError(f"weights sum to more than {MAX_WEIGHT_SUM}")
     rows = sum(counts.values())
     blocks = {x: -(-n // block_rows) for x, n in counts.items()}

@@ -453,6 +453,50 @@ def test_more_sources_than_the_plan_holds(spark):
     assert got.count() == 4000 and got.agg(F.min("mix_position"), F.max("mix_position"), F.count_distinct("mix_position")).first() == (0, 3999, 4000)
 
 
+def test_slots_of_many_sources_are_those_of_the_plan():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 14)
+        blocks, w = [rng.choice([0, 1, 2, rng.randint(0, 300)]) for _ in range(n)], [rng.choice([0, 1, 1, 2, rng.randint(0, 40)]) for _ in range(n)]
+        parts = list(mix.slots(np.array(blocks), np.array(w), rng.choice([1, 7, 50, 1000, mix.AT_ONCE])))
+        got = list(zip(*[np.concatenate([x[c] for x in parts]).tolist() if parts else [] for c in range(3)], strict=True))
+        plan = mix.plan({f"{i:02d}": b for i, b in enumerate(blocks)}, {f"{i:02d}": x for i, x in enumerate(w)})
+        want = {mix.slot_of(p, j): (int(p["source"]), j, max(b for b, f in zip(p["base"], p["first"], strict=True) if f <= j)) for p in plan for j in range(blocks[int(p["source"])])}
+        starts = sorted({x[2] for x in want.values()})
+        assert got == [(i, j, starts.index(b)) for i, j, b in (want[k] for k in range(len(want)))]
+
+
+@pytest.mark.parametrize(("weights", "block_rows"), [(None, 3), ({"s0": 3_000_000_000, "s1": 1_000_000_001}, 2), ({None: 5, "s2": 2}, 1)])
+def test_every_row_has_its_place_without_a_plan(docs, monkeypatch, weights, block_rows):
+    monkeypatch.setattr(mix, "MAX_SOURCES", 2)
+    test_every_row_has_its_place_in_the_mixture(docs, weights, block_rows)
+
+
+def test_large_weights_need_no_plan(docs):
+    test_every_row_has_its_place_in_the_mixture(docs, {"s0": 30_000, "s1": 10_001}, 2)
+
+
+def test_query_on_more_sources_than_the_plan_holds_equals_sql(spark, tmp_path):
+    duckdb, queries = pytest.importorskip("duckdb"), pytest.importorskip("cadenza.llm.queries")
+    names = F.when(F.col("id") % 3 == 0, "pool").when(F.col("id") % 50 != 1, F.concat(F.lit("h"), (F.col("id") % 1313 % (F.col("id") % 1301 + 1)).cast("string")))
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), names.alias("source"), F.when(F.col("id") % 7 != 0, "x").alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows.select("source").distinct().count() > 1024
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = c.execute(queries.ORACLES["op5_mix"]).fetchall()
+    assert by_key(queries.QUERIES["op5_mix"](spark, str(tmp_path)).collect()) == by_key(want)
+
+
+def test_many_sources_without_a_weight_follow_the_others(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), (F.col("id") % 1500).cast("string")).alias("source"))
+    weights = {f"h{i}": 1 + i % 3 for i in range(0, 1400, 2)}
+    got = sorted(mix.mixed(df, weights, block_rows=2).collect(), key=lambda x: x["mix_position"])
+    given = sum(x["source"] in weights for x in got)
+    assert all(x["source"] in weights for x in got[:given]) and len(got) == 4000
+    assert [x["source"] for x in got if x["mix_slot"] < 2] == sorted(w for w in weights if weights[w] == 3)[0:1] * 2 + sorted(w for w in weights if weights[w] == 3)[1:2] * 2
+
+
 # ---- 6
 
 
