@@ -17,7 +17,7 @@ Scale: one pass counts rows by source.  The plan (a period of W slots for each s
 joined by source; ranks inside sources are bucketed windows (``ranked``), so a source with a third of the rows is dealt like
 the rest; block, slot and position are arithmetic.  The table of blocks (``slots``) is made on the driver too, slot by slot,
 or by whole periods where a phase has several, and written in pieces of ``AT_ONCE`` blocks; the driver holds numbers for
-each source and no names, and rows meet the table in a join by source and block.  The random order looks at all columns of a
+each source and no names.  Buckets of a source, not rows, meet that table, so rows are dealt once, as with a plan.  The random order looks at all columns of a
 row, so neither a source nor a repeated or null id makes a large bucket.
 
 Defined cases: a null source is a source; a source without a weight has weight 0; repeated rows are rows, those that are
@@ -35,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SHUFFLE_RANGE, by_share, kept, ranked, shared_dir, shuffle_key, told_apart
+from cadenza.llm.common import SHUFFLE_RANGE, kept, ranked, shared_dir, shuffle_key, told_apart
 
 BLOCK_ROWS, SEED, MAX_SOURCES, MAX_WEIGHT_SUM = 16, 42, 64, 4096
 #: Blocks of the table that the driver makes at once.
@@ -247,10 +247,18 @@ def scheduled(docs: DataFrame, weights: dict[str | None, int] | None, block_rows
         spark.createDataFrame(made).write.mode("append").parquet(path)
         slot, position = slot + len(i), int(ends[-1])
     places = spark.read.schema("_k long, _b long, mix_phase int, mix_slot long, _start long").parquet(path)
-    docs = by_share(docs, each.select("_s", "_k", "_n"), "_s", "_n", position).drop("_s")
-    df = ranked(docs, ["_k"], ["_h", *[F.col("row")[c] for c in (key, *others)]], F.col("_h") / F.lit(SHUFFLE_RANGE), "_r", position)
-    df = df.withColumn("_b", F.expr(f"_r div {block_rows}L")).join(places, ["_k", "_b"])
-    return df.select("row.*", "mix_phase", "mix_slot", F.expr(f"_start + _r % {block_rows}L").alias("mix_position"))
+    n_buckets = max(256, min(-(-position // 4096), 65536 + position // 262144))  # as in ranked
+    docs = docs.withColumn("_bucket", F.least(F.floor(F.col("_h") / F.lit(SHUFFLE_RANGE) * F.lit(float(n_buckets))), F.lit(n_buckets - 1)).cast("int"))
+    earlier = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = docs.groupBy("_s", "_bucket").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    spans = counts.join(each.select("_s", "_k"), "_s").repartition("_s", "_bucket")
+    spans = spans.withColumn("_b", F.explode(F.expr(f"sequence(_before div {block_rows}L, (_before + _m - 1) div {block_rows}L)"))).join(places, ["_k", "_b"])
+    spans = spans.groupBy("_s", "_bucket").agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_b", "mix_phase", "mix_slot", "_start"))).alias("_at"))
+    within = Window.partitionBy("_s", "_bucket").orderBy("_h", *[F.col("row")[c] for c in (key, *others)])
+    df = docs.withColumn("_within", F.row_number().over(within) - 1).join(spans, ["_s", "_bucket"])
+    df = df.withColumn("_r", F.col("_before") + F.col("_within"))
+    df = df.withColumn("_place", F.expr(f"element_at(_at, cast(_r div {block_rows}L - _before div {block_rows}L as int) + 1)"))
+    return df.select("row.*", "_place.mix_phase", "_place.mix_slot", F.expr(f"_place._start + _r % {block_rows}L").alias("mix_position"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, key: str = "doc_id", source: str = "source", max_sources: int | None = None) -> DataFrame:
